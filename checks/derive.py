@@ -273,7 +273,7 @@ def closure(sql: str) -> list[str]:
 def as_oracle(sql: str) -> str:
     """``sql`` over derived tables as one DuckDB statement over the driver's tables."""
     parts = [f"{name} as ({DEFINITIONS[name]})" for name in closure(sql)]
-    text = f"with {', '.join(parts)} {sql}" if parts else sql
+    text = f"with {', '.join(parts)} select * from ({sql}) answer" if parts else sql
     return text.replace("{time}", "timestamp")
 
 
