@@ -66,7 +66,9 @@ DEFINITIONS: dict[str, str] = {
           (1,'NEW100','n1','amount',100,500,'1995-01-01 00:00:00','2030-01-01 00:00:00',0,true),
           (2,'SALE20','n2','percent',20,1000,'1995-01-01 00:00:00','2030-01-01 00:00:00',100,true),
           (3,'OLD50','n3','amount',50,0,'1995-01-01 00:00:00','1996-01-01 00:00:00',0,true),
-          (4,'OFF10','n4','percent',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',0,false)
+          (4,'OFF10','n4','percent',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',0,false),
+          (5,'FEW15','n5','percent',15,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',50,true),
+          (6,'HALF','n6','percent',50,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',30,true)
         ) as t(id,code,name,discount_type,discount_value,min_spend,s,e,usage_limit,is_active)""",
     "lms_order_items": """
         select l_orderkey*1000000+l_partkey as id, l_orderkey as order_id, l_partkey as course_id,
@@ -191,7 +193,8 @@ DEFINITIONS: dict[str, str] = {
     "lms_checkout_requests": """
         select o_orderkey as id, o_custkey*2 as user_id, (o_orderkey*31) % (select count(*) from part) as course_id,
           case o_orderpriority when '1-URGENT' then ' new100 ' when '2-HIGH' then 'SALE20' when '3-MEDIUM' then 'nope'
-            when '5-LOW' then 'OLD50' else '' end as coupon_code,
+            when '5-LOW' then case when o_orderkey % 4 = 1 then 'OLD50' else 'half' end
+            else case when o_orderkey % 3 = 1 then '' else 'Few15' end end as coupon_code,
           o_orderdate as requested_at
         from orders""",
     "lms_course_forms": """
