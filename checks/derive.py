@@ -180,11 +180,11 @@ DEFINITIONS: dict[str, str] = {
           substring(text,1,40) as title, text as content, o.o_orderdate as created_at
         from conversations left join orders o on o.o_orderkey=conv_id where turn=0""",
     "lms_answers": """
-        select min(c.conv_id*1000+c.turn) as id, c.conv_id as question_id, min(q.course_id*2+1) as user_id,
+        select min(c.conv_id*1000+c.turn) as id, c.conv_id as question_id, min((q.course_id % (select count(*) from supplier))*2+1) as user_id,
           c.text as content, min(q.created_at) as created_at
         from conversations c join lms_questions q on q.id=c.conv_id where role='assistant' group by c.conv_id, c.text""",
     "lms_audits": """
-        select id, id as course_id, case when id % 4 = 1 then cast(id*2 as bigint) end as reviewer_id,
+        select id, id as course_id, case when id % 4 = 1 then (id % (select count(*) from customer))*2 end as reviewer_id,
           case id % 3 when 0 then 'pending' when 1 then 'approved' else 'rejected' end as status,
           case when id % 3 = 2 then concat('see ', title) end as comment, created_at,
           cast(null as {time}) as reviewed_at
