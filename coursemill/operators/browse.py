@@ -17,9 +17,13 @@ from ..schema import table
 from ..shop import Shop
 from ..store import Store
 from .labels import label_frame
-from .paths import Path, columns_over
+from .numbering import number_rows
+from .paths import Path, columns_over, restrict
 
 PAGE_ROWS = 100
+# Pages up to here come from a top-k; beyond, rows are numbered by a distributed sort instead,
+# because a top-k would gather all rows before the page in one task.
+TOP_K_PAGES = 100
 
 
 @dataclass(frozen=True)
@@ -208,6 +212,15 @@ def apply_filters(
     return rows
 
 
+def _page(rows: DataFrame, page: int, store: Store) -> DataFrame:
+    skipped = page * PAGE_ROWS
+    if page < TOP_K_PAGES:
+        return rows.orderBy(F.desc("id")).offset(skipped).limit(PAGE_ROWS)
+    placed = number_rows(rows.select("id"), [], [F.desc("id")], store)
+    wanted = placed.filter((F.col("position") > skipped) & (F.col("position") <= skipped + PAGE_ROWS))
+    return restrict(rows, wanted.select(F.col("id").alias("_wanted")))
+
+
 def browse(
     shop: Shop,
     name: str,
@@ -230,8 +243,7 @@ def browse(
     )
     rows = apply_filters(shop, name, rows, filters or {}, now)
     rows = search(shop, name, rows, search_term)
-    shown = rows.select("id", *listing.shown).orderBy(F.desc("id"))
-    shown = store.keep(shown.offset(page * PAGE_ROWS).limit(PAGE_ROWS), f"page-{name}")
+    shown = store.keep(_page(rows.select("id", *listing.shown), page, store), f"page-{name}")
 
     result = shown
     columns: list[Column] = [F.col("id")]
