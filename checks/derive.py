@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coursemill import Shop, Store
 from coursemill.schema import TABLES
+from coursemill.session import ADAPTIVE, apply_settings
 from coursemill.store import shared_root
 
 DRIVER_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
@@ -309,4 +310,5 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shop_from(spark: SparkSession, folder: str) -> Shop:
     """The shop over the driver's tables in ``folder``."""
+    apply_settings(spark, ADAPTIVE)
     return Shop(lambda name: derived(spark, folder, f"lms_{name}"), tuple(TABLES))

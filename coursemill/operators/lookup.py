@@ -18,20 +18,6 @@ def owned_by(df: DataFrame, wanted: int, owner: str, user: int) -> DataFrame:
     return by_id(df, wanted).filter(F.col(owner) == F.lit(user))
 
 
-def flag_existing(
-    requests: DataFrame, facts: DataFrame, on: dict[str, str], name: str
-) -> DataFrame:
-    """Keep every request and add whether ``facts`` has a row for its key.
-
-    The fact side is reduced to distinct keys first, so it cannot multiply requests.
-    """
-    keys = facts.select(*[F.col(f).alias(f"_{f}") for f in on.values()]).distinct()
-    keys = keys.withColumn("_hit", F.lit(True))
-    match = [F.col(r) == F.col(f"_{f}") for r, f in on.items()]
-    joined = requests.join(keys, match, "left")
-    return joined.select(*requests.columns, F.coalesce("_hit", F.lit(False)).alias(name))
-
-
 def rename(df: DataFrame, **names: str) -> DataFrame:
     """Select ``source`` columns under new names: ``rename(users, user_id='id', username='username')``."""
     return df.select(*[F.col(source).alias(target) for target, source in names.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code_label, contains_text, first_char, WHITESPACE
-from ..operators.lookup import flag_existing, rename
+from ..operators.lookup import rename
 from ..operators.numbering import number_rows
 from ..schema import LEVEL, NO_CATEGORY
 from ..shop import Shop
@@ -96,21 +96,24 @@ def owned_courses(shop: Shop, requests: DataFrame) -> DataFrame:
 
 
 def purchase_flags(shop: Shop, visits: DataFrame) -> DataFrame:
-    """Course page visits ``(id, user_id, course_id)``: bought already, and the visitor's own rating if bought."""
-    keyed = visits.select("id", "user_id", "course_id")
-    bought = flag_existing(
-        keyed,
-        shop["enrollments"],
-        {"user_id": "student_id", "course_id": "course_id"},
-        "already_purchased",
-    )
-    own = shop["reviews"].select("user_id", "course_id", F.col("rating").alias("_rating"))
-    return bought.join(own, ["user_id", "course_id"], "left").select(
-        F.col("id").alias("visit_id"),
-        "user_id",
-        "course_id",
-        "already_purchased",
-        F.when(F.col("already_purchased"), F.col("_rating")).alias("my_rating"),
+    """Course page visits ``(id, user_id, course_id)``: bought already, and the visitor's own rating if bought.
+
+    Purchases and reviews, one row per (user, course) each, are matched first, so the visits are
+    joined once.
+    """
+    bought = shop["enrollments"].select(F.col("student_id").alias("user_id"), "course_id").distinct()
+    own = shop["reviews"].select("user_id", "course_id", "rating")
+    known = bought.join(own, ["user_id", "course_id"], "left").withColumn("bought", F.lit(True))
+    return (
+        visits.select("id", "user_id", "course_id")
+        .join(known, ["user_id", "course_id"], "left")
+        .select(
+            F.col("id").alias("visit_id"),
+            "user_id",
+            "course_id",
+            F.coalesce("bought", F.lit(False)).alias("already_purchased"),
+            F.col("rating").alias("my_rating"),
+        )
     )
 
 

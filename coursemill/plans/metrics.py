@@ -175,7 +175,8 @@ def course_rating_summary(shop: Shop) -> DataFrame:
 def my_courses(shop: Shop) -> DataFrame:
     """Every enrolment of a user with profile: course card, own minutes in it, own minutes in all.
 
-    Joins on the same key follow each other, so enrolments are shuffled once per key at most.
+    Everything known per user, and per course, is put together first. Enrolments then meet it in
+    one join per key, and a hot user or course is one hot join key, which adaptive execution splits.
     """
     teachers = rename(shop["users"], teacher_id="id", teacher_username="username")
     categories = rename(shop["categories"], category_id="id", category="name")
@@ -194,11 +195,10 @@ def my_courses(shop: Shop) -> DataFrame:
     enrolled = rename(
         shop["enrollments"], enrollment_id="id", user_id="student_id", course_id="course_id", purchased_at="purchased_at"
     )
-    with_profile = shop["profiles"].select("user_id")
     in_all = minutes_per(shop, "user_id").withColumnRenamed("watch_minutes", "total_minutes")
+    people = shop["profiles"].select("user_id").distinct().join(in_all, "user_id", "left")
     return (
-        enrolled.join(with_profile, "user_id", "left_semi")
-        .join(in_all, "user_id", "left")
+        enrolled.join(people, "user_id")
         .join(minutes_per(shop, "user_id", "course_id"), ["user_id", "course_id"], "left")
         .join(courses, "course_id")
         .select(

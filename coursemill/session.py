@@ -6,19 +6,22 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution does the size-dependent choices: broadcast below the threshold,
 # sort-merge above it, splitting of hot join keys, merging of small shuffle partitions.
-SETTINGS = {
+ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SETTINGS = {
+    **ADAPTIVE,
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
 
-def apply_settings(spark: SparkSession) -> SparkSession:
-    for key, value in SETTINGS.items():
+def apply_settings(spark: SparkSession, settings: dict[str, str] = SETTINGS) -> SparkSession:
+    for key, value in settings.items():
         spark.conf.set(key, value)
     return spark
 
