@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from coursemill import Shop, Store
 from coursemill.schema import TABLES
@@ -281,7 +282,7 @@ def as_oracle(sql: str) -> str:
     return text.replace("{time}", "timestamp")
 
 
-_written: dict[tuple[str, str], dict[str, str]] = {}
+_written: dict[tuple[str, str], dict[str, tuple[str, StructType]]] = {}
 
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -304,8 +305,9 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
         df = spark.sql(text, **inputs)
         path = Store(spark, f"{shared_root(spark)}/derived").fresh_path(name)
         df.write.parquet(path)
-        paths[name] = path
-    return spark.read.parquet(paths[name])
+        paths[name] = path, df.schema
+    path, schema = paths[name]
+    return spark.read.schema(schema).parquet(path)
 
 
 def shop_from(spark: SparkSession, folder: str) -> Shop:

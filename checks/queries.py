@@ -14,6 +14,7 @@ from coursemill.operators import labels, lookup, quality
 from coursemill.operators.browse import LISTINGS, browse
 from coursemill.operators.cascade import delete_courses
 from coursemill.operators.merging import insert_if_absent, set_difference_plan
+from coursemill.operators.unions import union_all
 from coursemill.plans import accounts, activity, catalog, charts, checkout, exports, metrics
 from coursemill.schema import TABLES
 from coursemill.sinks import write_exports
@@ -157,7 +158,7 @@ def _row_rule(rule: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         shop = shop_from(spark, folder)
         tables = [*shop.items(), *_faulty(spark, folder).items()]
-        return quality.union_all([f for n, df in tables for f in quality.row_violations(n, df, [rule])])
+        return union_all([f for n, df in tables for f in quality.row_violations(n, df, [rule])])
 
     return run
 
@@ -172,7 +173,7 @@ def _key_rule(rule: str) -> Query:
         tables = [(n, shop[n]) for n in shop]
         tables += [("users", faulty["users"]), ("categories", faulty["categories"]), ("reviews", submissions)]
         tables += [("carts", shop["orders"])]
-        return quality.union_all([f for n, df in tables for f in quality.unique_violations(n, df, [rule])])
+        return union_all([f for n, df in tables for f in quality.unique_violations(n, df, [rule])])
 
     return run
 
@@ -182,7 +183,7 @@ def _foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
     faulty = shop.replace(**_faulty(spark, folder))
     frames = [f for n in shop for f in quality.key_violations(shop, n)]
     frames += [f for n in ("orders", "order_items", "notifications") for f in quality.key_violations(faulty, n)]
-    return quality.union_all(frames)
+    return union_all(frames)
 
 
 def _csv_exports(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +197,7 @@ def _csv_exports(spark: SparkSession, folder: str) -> DataFrame:
         .select(F.lit(name).alias("export"), "n_rows")
         for name in exports.EXPORTS
     ]
-    return quality.union_all(frames)
+    return union_all(frames)
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CASCADE, SET_NULL, TABLES, Table, table
 from ..shop import Shop
 from ..store import Store
-
-
-def _any_of(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags, F.lit(False))
+from .unions import union_all
 
 
 class Deletion:
@@ -51,29 +46,26 @@ class Deletion:
 
     def _mark(self, t: Table) -> DataFrame:
         df = self.shop[t.name]
-        columns = df.columns
+        columns = {c: c for c in df.columns}
         gone, cleared = [], []
-        if t.name == self.root:
-            df = self._join_flag(df, "id", self.root, "_own")
-            gone.append(F.col("_own"))
-        for key in t.foreign_keys:
-            if key.name not in columns or not self._affected(key.refers_to):
+        edges = [("id", self.root, CASCADE)] if t.name == self.root else []
+        edges += [(c.name, c.refers_to, c.on_delete) for c in t.foreign_keys]
+        for key, parent, on_delete in edges:
+            if key not in columns or not self._affected(parent):
                 continue
-            flag = f"_lost_{key.name}"
-            df = self._join_flag(df, key.name, key.refers_to, flag)
-            if key.on_delete == CASCADE:
-                gone.append(F.col(flag))
-            elif key.on_delete == SET_NULL:
-                df = df.withColumn(key.name, F.when(~F.col(flag), F.col(key.name)))
-                cleared.append(F.col(flag))
-        is_gone, is_cleared = _any_of(gone), _any_of(cleared)
-        return df.select(*columns, is_gone.alias("_gone"), (is_cleared & ~is_gone).alias("_cleared"))
-
-    def _join_flag(self, df: DataFrame, column: str, parent: str, flag: str) -> DataFrame:
-        dead = self._deleted_ids(parent).select(F.col("id").alias(f"{flag}_id"), F.lit(True).alias(f"{flag}_hit"))
-        joined = df.join(dead, F.col(column) == F.col(f"{flag}_id"), "left")
-        return joined.withColumn(flag, F.coalesce(F.col(f"{flag}_hit"), F.lit(False))).drop(
-            f"{flag}_id", f"{flag}_hit"
+            dead = f"_dead_{key}"
+            ids = self._deleted_ids(parent).select(F.col("id").alias(dead))
+            df = df.join(ids, F.col(key) == F.col(dead), "left")
+            if on_delete == CASCADE:
+                gone.append(f"{dead} is not null")
+            elif on_delete == SET_NULL:
+                columns[key] = f"if({dead} is null, {key}, null)"
+                cleared.append(f"{dead} is not null")
+        is_gone, is_cleared = (" or ".join(tests) or "false" for tests in (gone, cleared))
+        return df.selectExpr(
+            *[f"{value} as {name}" for name, value in columns.items()],
+            f"{is_gone} as _gone",
+            f"({is_cleared}) and not ({is_gone}) as _cleared",
         )
 
     def remaining(self, name: str) -> DataFrame:
@@ -90,10 +82,7 @@ class Deletion:
             ).select(F.lit(name).alias("table_name"), "rows_before", "rows_left", "rows_cleared")
             for name, df in ((name, self.marked(name)) for name in TABLES)
         ]
-        result = frames[0]
-        for frame in frames[1:]:
-            result = result.unionAll(frame)
-        return result
+        return union_all(frames)
 
 
 def courses_to_delete(shop: Shop, requests: DataFrame) -> DataFrame:

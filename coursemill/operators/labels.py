@@ -11,6 +11,7 @@ from ..functions import code_label
 from ..schema import SEVERAL_COURSES, TABLES, table
 from ..shop import Shop
 from .paths import columns_over
+from .unions import union_all
 
 
 @dataclass(frozen=True)
@@ -97,10 +98,7 @@ def row_labels(shop: Shop) -> DataFrame:
         for name in TABLES
         if name in RECIPES and name != "users"
     ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionAll(frame)
-    return result
+    return union_all(frames)
 
 
 def choice_labels(shop: Shop) -> DataFrame:
@@ -118,7 +116,4 @@ def choice_labels(shop: Shop) -> DataFrame:
                     "n_rows",
                 )
             )
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionAll(frame)
-    return result
+    return union_all(frames)

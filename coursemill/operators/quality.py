@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import strip
+from ..functions import WHITESPACE
 from ..schema import Table, table
 from ..shop import Shop
+from .unions import union_all
 
 # Deliberately simple shapes: something@host.tld, and a web or ftp address with a host.
 SHAPES = {
@@ -23,41 +24,39 @@ SHAPES = {
 ROW_RULES = ("choices", "non_negative", "max_length", "required", "formats", "order_arithmetic")
 
 
-def _row_tests(t: Table, present: set[str]) -> Iterable[tuple[str, str, Column]]:
+def _row_tests(t: Table, present: set[str]) -> Iterable[tuple[str, str, str]]:
+    """(rule, column, SQL condition that is true for a violation)."""
     for c in t.columns:
         if c.name not in present:
             continue
-        value = F.col(c.name)
         if c.choices:
-            yield "choices", c.name, ~value.isin(list(c.choices))
+            yield "choices", c.name, f"{c.name} not in ({', '.join(repr(code) for code in c.choices)})"
         if c.non_negative:
-            yield "non_negative", c.name, value < 0
+            yield "non_negative", c.name, f"{c.name} < 0"
         if c.max_length:
-            yield "max_length", c.name, F.char_length(value) > c.max_length
+            yield "max_length", c.name, f"char_length({c.name}) > {c.max_length}"
         if not c.null:
-            empty = value.isNull()
-            if c.kind == "text" and not c.blank:
-                empty = empty | (strip(value) == "")
-            yield "required", c.name, empty
+            blank = f" or btrim({c.name}, '{WHITESPACE}') = ''" if c.kind == "text" and not c.blank else ""
+            yield "required", c.name, f"{c.name} is null{blank}"
         if c.shape:
-            yield "formats", c.name, (value != "") & ~value.rlike(SHAPES[c.shape])
+            yield "formats", c.name, f"{c.name} <> '' and not rlike({c.name}, r'{SHAPES[c.shape]}')"
     if t.name == "orders":
-        final, original, discount = F.col("final_price"), F.col("original_price"), F.col("discount_amount")
-        yield "order_arithmetic", "final_price", final != original - discount
-        yield "order_arithmetic", "discount_amount", discount > original
+        yield "order_arithmetic", "final_price", "final_price <> original_price - discount_amount"
+        yield "order_arithmetic", "discount_amount", "discount_amount > original_price"
 
 
 def row_violations(name: str, df: DataFrame, rules: Sequence[str] = ROW_RULES) -> list[DataFrame]:
     """All single-row rules of a table in one scan without a shuffle; nothing if no rule applies."""
+    present = set(df.columns)
     tests = [
-        F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column_name")))
-        for rule, column, test in _row_tests(table(name), set(df.columns))
+        f"if({test}, named_struct('rule', '{rule}', 'column_name', '{column}'), null)"
+        for rule, column, test in _row_tests(table(name), present)
         if rule in rules
     ]
-    if not tests or "id" not in df.columns:
+    if not tests or "id" not in present:
         return []
-    found = df.select("id", F.explode(F.array_compact(F.array(*tests))).alias("v"))
-    return [found.select("v.rule", F.lit(name).alias("table_name"), "v.column_name", "id")]
+    found = df.selectExpr("id", f"explode(array_compact(array({', '.join(tests)}))) as v")
+    return [found.selectExpr("v.rule", f"'{name}' as table_name", "v.column_name", "id")]
 
 
 def repeated_keys(
@@ -127,13 +126,6 @@ def key_violations(shop: Shop, name: str) -> list[DataFrame]:
     ]
 
 
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionAll(frame)
-    return result
-
-
 def validate(shop: Shop, names: Sequence[str] | None = None) -> DataFrame:
     """Every violation of every rule in the named tables, or in all."""
     frames: list[DataFrame] = []

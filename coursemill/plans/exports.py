@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code_label
 from ..operators.lookup import rename
+from ..operators.unions import union_all
 from ..schema import LEVEL, ROLE
 from ..shop import Shop
 
@@ -261,7 +262,4 @@ def export_row_counts(shop: Shop) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("export"), "n_rows")
         for name, df in all_exports(shop).items()
     ]
-    result = counts[0]
-    for more in counts[1:]:
-        result = result.unionAll(more)
-    return result
+    return union_all(counts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.unions import union_all
 from ..schema import TABLES, table
 from ..shop import Shop
 
@@ -69,7 +70,4 @@ def row_counts(shop: Shop) -> DataFrame:
         for name in shop
         if name in TABLES
     ]
-    result = counts[0]
-    for more in counts[1:]:
-        result = result.unionAll(more)
-    return result
+    return union_all(counts)
