@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import coupon_discount, coupon_usable, strip
 from ..operators.lookup import only_existing, only_missing, rename
 from ..operators.merging import absent
-from ..operators.numbering import number_rows, one_per_key
+from ..operators.numbering import first_n, number_rows, one_per_key
 from ..schema import PURCHASE_NOTICE_TITLE
 from ..shop import Shop
 from ..store import Store
@@ -135,7 +135,25 @@ def _same_cutoffs(a: DataFrame, b: DataFrame) -> bool:
     return both.filter(F.col("_a").isNull() | F.col("_b").isNull()).isEmpty()
 
 
-def accept(shop: Shop, priced: DataFrame, store: Store, max_rounds: int = 200) -> DataFrame:
+# Up to this many uses left, a limited window finds the last allowed winner: map tasks pass on no
+# more than that many rows per coupon. Beyond, rows are numbered by a distributed sort.
+WINDOW_USES = 1000
+
+
+def _last_allowed(winners: DataFrame, most_left: int, store: Store) -> DataFrame:
+    """Per coupon, the winner that takes its last use; nothing for a coupon with uses to spare."""
+    rows = winners.select("coupon_id", "left", *_TIME_ORDER)
+    order = [F.col(c) for c in _TIME_ORDER]
+    if most_left <= WINDOW_USES:
+        ranked = first_n(rows, ["coupon_id"], order, most_left)
+    else:
+        ranked = number_rows(rows, ["coupon_id"], order, store)
+    return ranked.filter(F.col("position") == F.col("left")).select(
+        "coupon_id", F.col("requested_at").alias("_cut_at"), F.col("id").alias("_cut_id")
+    )
+
+
+def accept(shop: Shop, priced: DataFrame, store: Store) -> DataFrame:
     """The requests that become purchases: first good request per (user, course), coupon limits kept.
 
     Whether a request succeeds depends on earlier successes: one for the same pair, or enough
@@ -143,7 +161,7 @@ def accept(shop: Shop, priced: DataFrame, store: Store, max_rounds: int = 200) -
     they have uses left, and only for pairs with such a request; everything else is settled by
     one aggregation. For the rest, repeat: pick winners among the requests not cut off; the
     coupon's last allowed winner is its new cutoff. Each round settles at least the earliest
-    open request, so the cutoffs come to rest at the result of serving in order. The state
+    open request, so the loop ends, with the result of serving in order. The state
     between rounds is one row per contested coupon.
     """
     good = priced.filter(F.col("outcome") == OK).select(*PRICED)
@@ -153,7 +171,8 @@ def accept(shop: Shop, priced: DataFrame, store: Store, max_rounds: int = 200) -
         _limited(shop).join(asked, "coupon_id").filter(F.col("_asked") > F.col("left")).select("coupon_id", "left"),
         "checkout-contested",
     )
-    if contested.isEmpty():
+    most_left = contested.agg(F.max("left")).first()[0]
+    if most_left is None:
         return _first_per_pair(good)
 
     pairs = (
@@ -168,25 +187,13 @@ def accept(shop: Shop, priced: DataFrame, store: Store, max_rounds: int = 200) -
     cutoffs = contested.sparkSession.createDataFrame(
         [], f"coupon_id bigint, _cut_at {cut_type}, _cut_id bigint"
     )
-    for _ in range(max_rounds):
+    while True:
         winners = _first_per_pair(_before_cutoff(disputed, cutoffs)).join(contested, "coupon_id")
-        ranked = number_rows(
-            winners.select("coupon_id", "left", *_TIME_ORDER),
-            ["coupon_id"],
-            [F.col(c) for c in _TIME_ORDER],
-            store,
-        )
-        moved = store.keep(
-            ranked.filter(F.col("position") == F.col("left")).select(
-                "coupon_id", F.col("requested_at").alias("_cut_at"), F.col("id").alias("_cut_id")
-            ),
-            "checkout-cutoffs",
-        )
+        moved = store.keep(_last_allowed(winners, most_left, store), "checkout-cutoffs")
         at_rest = _same_cutoffs(moved, cutoffs)
         cutoffs = moved
         if at_rest:
             return settled.unionByName(_first_per_pair(_before_cutoff(disputed, cutoffs)))
-    raise RuntimeError(f"coupon limits did not settle in {max_rounds} rounds")
 
 
 class Purchases:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from coursemill import Shop
@@ -117,7 +118,10 @@ def requests_of(spark, data):
     )
 
 
-def test_acceptance_equals_serving_in_order(spark, store):
+@pytest.mark.parametrize("window_uses", [1000, 0])
+def test_acceptance_equals_serving_in_order(spark, store, monkeypatch, window_uses):
+    """With both ways of finding a coupon's last allowed use."""
+    monkeypatch.setattr(checkout, "WINDOW_USES", window_uses)
     data = make_worlds(400)
     want = serve_in_order(data)
     done = checkout.checkout(shop_of(spark, data), requests_of(spark, data), store)
