@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as driver
 from checks.compare import connect, difference
+from checks.oracles import all_oracles
+from checks.queries import all_queries
 from tests.conftest import SMALL
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
