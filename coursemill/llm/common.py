@@ -123,11 +123,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every ``k`` consecutive words, by the place of the first; those across texts included."""
-    n = max(0, len(hashes) - k + 1)
-    total = np.zeros(n, np.uint64)
+    """Hash of every ``k`` consecutive words (on the last axis), by the place of the first; those across texts too."""
+    n = max(0, hashes.shape[-1] - k + 1)
+    total = np.zeros((*hashes.shape[:-1], n), np.uint64)
     for j, factor in enumerate(powers(k + 1)[0][1:]):
-        total += hashes[j : j + n] * factor
+        total += hashes[..., j : j + n] * factor
     return mix(total + np.uint64(k))
 
 

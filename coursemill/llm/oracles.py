@@ -11,6 +11,35 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
 from d
 """
 
+DECONTAMINATION = r"""
+with words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), item_words as (
+  select cast(item_id as varchar) as item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), item_windows as (
+  select distinct item, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as t
+  from (select item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from item_words where len(w) > 0)
+), lengths as (select distinct n from item_windows),
+windows as (
+  select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as t
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, lengths where len(w) >= n)
+), met as (select doc_id, i, d.n, item from windows d join item_windows using (t)),
+hit as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(i, i + n)) from met) group by 1),
+items as (
+  select doc_id, count(*) as n, string_agg(item, ',' order by item) as all_items
+  from (select distinct doc_id, item from met) group by 1
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(items.n, 0) as n_items,
+  sha256(coalesce(all_items, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from words left join hit using (doc_id) left join items using (doc_id)
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP}
+    return {"op1_exact_dedup": EXACT_DEDUP, "op2_decontamination": DECONTAMINATION}

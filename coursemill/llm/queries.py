@@ -13,6 +13,7 @@ from coursemill.store import Store
 from .common import read_table
 from .exact import duplicate_groups
 from .token_files import read_token_files, write_token_files
+from .winnow import contamination
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +35,21 @@ def token_binary(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    return contamination(docs, items, Store(spark)).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": exact_dedup,
+        "op2_decontamination": decontamination,
         "op10_token_binary": token_binary,
     }
