@@ -40,6 +40,26 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, c
 from words left join hit using (doc_id) left join items using (doc_id)
 """
 
+WARC = """
+with p as (
+  select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages
+), d as (
+  select page_id, strlen(h) as payload_bytes, min(page_id) over (partition by h) as first,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((cast('0x' || substr(x, cast((i // 4) * 5 + 1 as bigint), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31) + 1, 1)
+      for i in range(0, 32)], '')
+      as payload_digest
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from d
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_DEDUP, "op2_decontamination": DECONTAMINATION}
+    return {
+        "op1_exact_dedup": EXACT_DEDUP,
+        "op2_decontamination": DECONTAMINATION,
+        "op9_warc": WARC,
+    }

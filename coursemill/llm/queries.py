@@ -12,7 +12,9 @@ from coursemill.store import Store
 
 from .common import read_table
 from .exact import duplicate_groups
+from .langid import identify, learn_dictionaries
 from .token_files import read_token_files, write_token_files
+from .warc import normalise, read_records, write_archives
 from .winnow import contamination
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +49,31 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return identify(docs, learn_dictionaries(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages, store = read_table(spark, folder, "pages"), Store(spark)
+    streams, members = store.fresh_path("warc-streams"), store.fresh_path("warc-members")
+    files = write_archives(pages, streams, store)
+    index = normalise(files, streams, members, store, _tasks(spark))
+    kind = pages.schema["page_id"].dataType
+    return read_records(index, members, _tasks(spark), with_html=False).select(
+        F.col("page_id").try_cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").try_cast(kind).alias("refers_to"),
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": exact_dedup,
         "op2_decontamination": decontamination,
+        "op6_language_id": language_id,
+        "op9_warc": warc,
         "op10_token_binary": token_binary,
     }
