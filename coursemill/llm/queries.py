@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from coursemill.store import Store
 from .common import read_table
 from .exact import duplicate_groups
 from .langid import identify, learn_dictionaries
+from .piece_codec import round_trip
+from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .warc import normalise, read_records, write_archives
 from .winnow import contamination
@@ -49,6 +52,19 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _piece_model() -> bytes:
+    return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+
+
+def sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(read_table(spark, folder, "documents"), _piece_model())
+
+
+def token_count(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts(read_table(spark, folder, "documents"), _piece_model())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return identify(docs, learn_dictionaries(docs)).select("doc_id", "held_out", "lang_pred", "score")
@@ -73,6 +89,8 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": exact_dedup,
         "op2_decontamination": decontamination,
+        "op4_sentencepiece": sentencepiece_round_trip,
+        "op5_token_counts": token_count,
         "op6_language_id": language_id,
         "op9_warc": warc,
         "op10_token_binary": token_binary,
