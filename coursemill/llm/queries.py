@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from coursemill.store import Store
 
 from .common import read_table
+from .dart_minhash import near_duplicates
 from .exact import duplicate_groups
 from .langid import identify, learn_dictionaries
 from .piece_codec import round_trip
@@ -70,6 +71,10 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, learn_dictionaries(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read_table(spark, folder, "documents"), Store(spark))
+
+
 def warc(spark: SparkSession, folder: str) -> DataFrame:
     pages, store = read_table(spark, folder, "pages"), Store(spark)
     streams, members = store.fresh_path("warc-streams"), store.fresh_path("warc-members")
@@ -92,6 +97,7 @@ def llm_queries() -> dict[str, Query]:
         "op4_sentencepiece": sentencepiece_round_trip,
         "op5_token_counts": token_count,
         "op6_language_id": language_id,
+        "op8_minhash_near_dedup": minhash_near_dedup,
         "op9_warc": warc,
         "op10_token_binary": token_binary,
     }
