@@ -1,21 +1,24 @@
-"""Token-id files: flat unsigned 32-bit ids with 64-bit document offsets, one shard per range of ids.
+"""Token-id files: flat unsigned ids with 64-bit document offsets, one shard per range of documents.
 
 A folder holds, for every shard,
 
-    part-00003-<attempt>.ids      all ids of the shard's documents, little-endian unsigned 32 bits
+    part-00003-<attempt>.ids      all ids of the shard's documents, little-endian unsigned 16 or 32 bits
     part-00003-<attempt>.offsets  n + 1 little-endian unsigned 64-bit places inside the shard, counted in ids
     part-00003-<attempt>.docs     the n document ids, an Arrow file
 
-and the table ``manifest`` with one row per shard: its number, file name, documents, ids, and ``base``, the
-number of ids in all shards before it. Only files that the manifest names count: a task that was lost or
+and the table ``manifest`` with one row per shard: its number, file name, documents, ids, bytes of an id, and
+``base``, the number of ids in all shards before it. Ids take 16 bits where the whole vocabulary fits. Only files that the manifest names count: a task that was lost or
 ran twice leaves files that nobody reads.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,24 @@ from .common import filesystem, join_path, make_folder, pieces
 REMEMBERED = 300_000
 
 
+#: Signs between a letter or digit and white space; the tokenizer cuts there as it does at white space.
+_SIGNS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,;:!?$&*|]+(?=\s)")
+
+
+def parts(text: str | None) -> list[bytes]:
+    """Parts of a text that the tokenizer never joins, as few different ones as can be had cheaply."""
+    plain = (text or "").encode()
+    if b"<|" not in plain:  # the marker of a special token is told by its small letters
+        plain = _SIGNS.sub(rb" \g<0>", plain.lower())
+    return plain.split()
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, from the ids of their words.
+    """Ids of whole texts as unsigned 32-bit integers, from the ids of their words.
 
-    For tokenizers that cut at white space and drop it: a text's ids are then the ids of its words, one after
-    the other. Each different word goes through the library once while it is remembered.
+    For tokenizers that lower letters, cut at white space, which they drop, and between letters and signs:
+    a text's ids are then those of its parts, one after the other. Each different part goes through the
+    library once while it is remembered; all else, markers of special tokens included, is left to the library.
     """
 
     def __init__(self, path: str):
@@ -45,27 +61,32 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.largest_id = max(self.library.get_vocab().values())
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: Iterable[bytes]) -> None:
+        """Put the ids of all these words where ``encode`` looks them up."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
+        asked = []
         for word in words:
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    new.append(word)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            found = self.old.get(word)
+            if found is None:
+                asked.append(word)
+            else:
+                self.young[word] = found
+        for at in range(0, len(asked), 20_000):
+            some = asked[at : at + 20_000]
+            found = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.young.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        self.learn(set().union(*split))
+        split = [parts(t) for t in texts]
+        if len(self.young) > REMEMBERED:
+            self.learn(set(chain.from_iterable(split)))
+        else:
+            self.learn(set(filterfalse(self.young.__contains__, chain.from_iterable(split))))
         known = self.young.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
@@ -76,7 +97,7 @@ def encoder(path: str, _kept: dict[str, WordEncoder] = {}) -> WordEncoder:
     return _kept[path]
 
 
-MANIFEST = "shard int, file string, n_docs long, n_ids long"
+MANIFEST = "shard int, file string, n_docs long, n_ids long, id_bytes int"
 
 
 def write_token_files(
@@ -100,6 +121,7 @@ def write_token_files(
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     rows = rows.withColumn("_order", F.xxhash64("_text"))
     end = np.array([end_id], "<u4").tobytes()
+    id_bytes = 2 if max(encoder(tokenizer_path).largest_id, end_id) < 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, lengths, keys = TaskContext.get().partitionId(), [np.zeros(1, np.uint64)], []
@@ -111,7 +133,8 @@ def write_token_files(
                 keys.append(batch.column(0))
                 for piece in pieces(batch):
                     coded = words.encode(piece.column(1).to_pylist())
-                    out.write(end.join(coded) + end)
+                    ids = np.frombuffer(end.join(coded) + end, "<u4")
+                    out.write(ids.astype(f"<u{id_bytes}").tobytes())
                     lengths.append(np.fromiter((len(x) // 4 + 1 for x in coded), np.uint64, len(coded)))
         if not keys:
             system.delete_file(f"{path}.ids")
@@ -119,17 +142,18 @@ def write_token_files(
         places = np.cumsum(np.concatenate(lengths), dtype="<u8")
         with system.open_output_stream(f"{path}.offsets") as out:
             out.write(places.tobytes())
-        ids = pa.table({"id": pa.chunked_array(keys)})
-        with system.open_output_stream(f"{path}.docs") as out, pa.ipc.new_file(out, ids.schema) as file:
-            file.write_table(ids)
+        keys = pa.table({"id": pa.chunked_array(keys)})
+        with system.open_output_stream(f"{path}.docs") as out, pa.ipc.new_file(out, keys.schema) as file:
+            file.write_table(keys)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([shard], pa.int32()),
                 pa.array([name]),
-                pa.array([ids.num_rows], pa.int64()),
+                pa.array([keys.num_rows], pa.int64()),
                 pa.array([int(places[-1])], pa.int64()),
+                pa.array([id_bytes], pa.int32()),
             ],
-            names=["shard", "file", "n_docs", "n_ids"],
+            names=["shard", "file", "n_docs", "n_ids", "id_bytes"],
         )
 
     ordered = rows.repartitionByRange(shards, "_id", "_order").sortWithinPartitions("_id", "_order", "_text")
@@ -151,7 +175,7 @@ def mapped(uri: str, kind: str) -> np.ndarray:
 
 
 def read_token_files(folder: str, manifest: DataFrame, tasks: int, id_type: str = "bigint") -> DataFrame:
-    """One row per document, from the files: doc_id, ``start`` (ids before it), ``n_tokens``, ``ids`` as bytes.
+    """One row per document, from the files: doc_id, ``start`` (ids before it), ``n_tokens``, ``ids`` as 32-bit integers.
 
     Every shard is mapped by one of ``tasks`` tasks, a few megabytes of ids at a time.
     """
@@ -161,7 +185,7 @@ def read_token_files(folder: str, manifest: DataFrame, tasks: int, id_type: str
             for shard in batch.to_pylist():
                 at = join_path(folder, shard["file"])
                 places = mapped(f"{at}.offsets", "<u8").astype(np.int64)
-                ids = mapped(f"{at}.ids", "<u4")
+                ids = mapped(f"{at}.ids", f"<u{shard['id_bytes']}")
                 system, path = filesystem(f"{at}.docs")
                 with system.open_input_file(path) as file:
                     keys = pa.ipc.open_file(file).read_all().column("id").combine_chunks()
@@ -173,11 +197,11 @@ def read_token_files(folder: str, manifest: DataFrame, tasks: int, id_type: str
                             keys[k : k + step],
                             pa.array(own[:-1] + shard["base"], pa.int64()),
                             pa.array(np.diff(own), pa.int64()),
-                            pa.array([ids[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary()),
+                            pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(own, own[1:])], pa.binary()),
                         ],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    shards = manifest.select("file", "base").repartition(tasks, "file")
+    shards = manifest.select("file", "base", "id_bytes").repartition(tasks, "file")
     return shards.mapInArrow(read, f"doc_id {id_type}, start bigint, n_tokens bigint, ids binary")
 
