@@ -16,6 +16,7 @@ from .dart_minhash import near_duplicates
 from .exact import duplicate_groups
 from .langid import identify, learn_dictionaries
 from .piece_codec import round_trip
+from .repeats import without_repeats
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .warc import normalise, read_records, write_archives
@@ -71,6 +72,17 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, learn_dictionaries(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(read_table(spark, folder, "documents"), Store(spark))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read_table(spark, folder, "documents"), Store(spark))
 
@@ -97,6 +109,7 @@ def llm_queries() -> dict[str, Query]:
         "op4_sentencepiece": sentencepiece_round_trip,
         "op5_token_counts": token_count,
         "op6_language_id": language_id,
+        "op7_suffix_dedup": suffix_dedup,
         "op8_minhash_near_dedup": minhash_near_dedup,
         "op9_warc": warc,
         "op10_token_binary": token_binary,

@@ -31,7 +31,7 @@ def gram_and_window(length: int) -> tuple[int, int]:
     return k, length - k + 1
 
 
-def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """``pick`` (minimum or maximum) of every ``width`` neighbours, by doubling."""
     out, have = values, 1
     while have < width:
@@ -45,9 +45,9 @@ def selected(hashes: np.ndarray, w: int) -> np.ndarray:
     """Places that hold the smallest hash of some window of ``w``; of a tie, all of them."""
     if len(hashes) <= w:
         return np.flatnonzero(hashes == hashes.min()) if len(hashes) else np.zeros(0, np.int64)
-    least = _sliding(hashes, w, np.minimum)
+    least = sliding(hashes, w, np.minimum)
     none = np.zeros(w - 1, hashes.dtype)
-    return np.flatnonzero(_sliding(np.concatenate([none, least, none]), w, np.maximum) == hashes)
+    return np.flatnonzero(sliding(np.concatenate([none, least, none]), w, np.maximum) == hashes)
 
 
 @dataclass
