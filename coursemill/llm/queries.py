@@ -19,6 +19,7 @@ from .piece_codec import round_trip
 from .repeats import without_repeats
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
+from .toxicity import TOXIC_FROM, learn, toxicity
 from .warc import normalise, read_records, write_archives
 from .winnow import contamination
 
@@ -54,16 +55,22 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _piece_model() -> bytes:
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    scored = toxicity(docs, learn(docs, read_table(spark, folder, "labels")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def piece_model() -> bytes:
     return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
 
 
 def sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    return round_trip(read_table(spark, folder, "documents"), _piece_model())
+    return round_trip(read_table(spark, folder, "documents"), piece_model())
 
 
 def token_count(spark: SparkSession, folder: str) -> DataFrame:
-    counted = token_counts(read_table(spark, folder, "documents"), _piece_model())
+    counted = token_counts(read_table(spark, folder, "documents"), piece_model())
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
@@ -106,6 +113,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": exact_dedup,
         "op2_decontamination": decontamination,
+        "op3_toxicity": toxicity_scores,
         "op4_sentencepiece": sentencepiece_round_trip,
         "op5_token_counts": token_count,
         "op6_language_id": language_id,

@@ -175,8 +175,9 @@ def _scan(block: Broadcast, last: bool) -> Callable[[Iterator[pa.RecordBatch]],
                     pa.array(np.diff(words.first), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs),
                     pa.array([sorted(x) for x in named], pa.list_(pa.string())),
+                    *piece.columns[5:],
                 ],
-                names=["_id", "_text", "n_words", "spans", "items"],
+                names=piece.schema.names,
             )
 
     return scan
@@ -192,6 +193,7 @@ def contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_hit``, ``spans``, ``items``.
 
@@ -202,7 +204,8 @@ def contamination(
 
     Null and empty texts have no words. A null item id counts as ''. Items that repeat are met all alike,
     and an id that stands for several items is listed once. Without items nothing is hit. Rows with equal
-    ids are judged one by one. Other columns are ignored.
+    ids are judged one by one. Other columns are ignored, or with ``carry`` kept beside the answers, as the
+    structure ``row``, so that rows can be filtered without joining them.
     """
     spark = docs.sparkSession
     found = docs.select(
@@ -211,6 +214,7 @@ def contamination(
         F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
     )
     schema = found.schema
     kept = items.select(
@@ -223,4 +227,5 @@ def contamination(
         if number < len(blocks):
             found = store.keep(found, "contamination")
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
-    return found.select(F.col("_id").alias(id_column), "n_words", n_hit.alias("n_hit"), "spans", "items")
+    carried = ["row"] if carry else []
+    return found.select(F.col("_id").alias(id_column), "n_words", n_hit.alias("n_hit"), "spans", "items", *carried)
