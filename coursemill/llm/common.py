@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import coursemill
 from coursemill.session import ADAPTIVE, apply_settings
+from coursemill.store import shared_root
 
 #: Bytes of text that are worked on at once inside a task (one text at least).
 CHUNK_BYTES = 4 << 20
@@ -22,6 +27,32 @@ _RATIO = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, wherever they run.
+
+    The sources go to the shared folder as a zip file that Spark hands out. Every operator that runs Python in
+    tasks calls this first, so nothing has to be installed on the executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root, data = Path(coursemill.__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent).as_posix())
+    folder = join_path(shared_root(spark), "sources")
+    make_folder(folder)
+    uri = join_path(folder, "coursemill.zip")
+    system, path = filesystem(uri)
+    with system.open_output_stream(path) as out:
+        out.write(data.getvalue())
+    spark.sparkContext.addPyFile(uri)
+    _shipped.add(app)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     apply_settings(spark, ADAPTIVE)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces
+from .common import held_out, pieces, ship
 
 #: Bound of what is learned: rows of each language, characters of each row, bytes of each dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2_000, 32 << 10
@@ -101,6 +101,7 @@ def identify(
     Of equal sizes the first language in order of name is taken. Rows are judged one by one, so repeated rows
     and ids get repeated answers; other columns are ignored. Whole texts are compressed, in segments.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), held_out(F.col(id_column)))
     kind = rows.schema["_id"].dataType.simpleString()
 

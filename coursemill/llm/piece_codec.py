@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, ship
 from .piece_models import model
 
 
@@ -25,6 +25,7 @@ def encode(
     columns are ignored. Characters the model has no piece for become bytes where the model has them, else
     the unknown id.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -51,6 +52,7 @@ def decode(
     in such models and comes back as one. Begin and end marks write nothing, bytes that are no UTF-8 become
     replacement signs, an unknown id the model's sign for it. Ids that the model does not have are an error.
     """
+    ship(coded.sparkSession)
     rows = coded.select(F.col(id_column).alias("_id"), F.col(ids_column).alias("_ids"))
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -74,6 +76,7 @@ def round_trip(
     ``ids_crc32`` is the unsigned crc32 of the ids as little-endian 32-bit integers, ``round_trip`` whether the
     decoded text is the one that was encoded (null as empty). Nulls, ids and columns as for ``encode``.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, ship
 from .piece_models import PieceModel, model
 
 
@@ -80,6 +80,7 @@ def truncated(
 
 
 def _by_row(docs, serialized, work, schema, id_column, text_column, *more) -> DataFrame:
+    ship(docs.sparkSession)
     rows = docs.select(
         F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *(F.col(c).alias("_more") for c in more)
     )

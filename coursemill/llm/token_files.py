@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from coursemill.store import Store
 
-from .common import filesystem, join_path, make_folder, pieces
+from .common import filesystem, join_path, make_folder, pieces, ship
 
 #: Words whose ids a Python worker remembers, in each of two generations.
 REMEMBERED = 300_000
@@ -117,6 +117,7 @@ def write_token_files(
     Null texts count as empty and have the end id only. Other columns are ignored. An empty table gives an
     empty manifest. The manifest is written before its bases are added up, so the shards are made once.
     """
+    ship(docs.sparkSession)
     make_folder(folder)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     rows = rows.withColumn("_order", F.xxhash64("_text"))
@@ -180,6 +181,8 @@ def read_token_files(folder: str, manifest: DataFrame, tasks: int, id_type: str
     Every shard is mapped by one of ``tasks`` tasks, a few megabytes of ids at a time.
     """
 
+    ship(manifest.sparkSession)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():

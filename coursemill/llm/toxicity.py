@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, pieces, text_bytes, words_of
+from .common import Words, held_out, pieces, ship, text_bytes, words_of
 from .gru import WORD_DIM, Adam, Params, forward, gradient, logits, new_params, project, sigmoid, spelling, trigrams
 
 #: Words of a window, words from one window to the next.
@@ -192,6 +192,7 @@ def toxicity(
     rows and ids get repeated answers; other columns are ignored, or with ``carry`` kept beside the answers, as
     the structure ``row``, so that rows can be filtered without joining them.
     """
+    ship(docs.sparkSession)
     rows = docs.select(
         F.col(id_column).alias("_id"),
         F.col(text_column).alias("_text"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from coursemill.store import Store
 
-from .common import filesystem, join_path, make_folder, pieces
+from .common import filesystem, join_path, make_folder, pieces, ship
 
 #: Level of both kinds of gzip files; 31 window bits stand for the gzip format.
 LEVEL, GZIP = 6, 31
@@ -138,6 +138,7 @@ def write_archives(
     files are whole, so files of lost or repeated tasks are never read. Ids are kept as text in the records;
     a null id is written as ''. Other columns are ignored, an empty table makes no file.
     """
+    ship(pages.sparkSession)
     make_folder(folder)
     rows = pages.select(
         F.col(id_column).alias("_id"),
@@ -179,6 +180,7 @@ def normalise(files: DataFrame, folder: str, out_folder: str, store: Store, task
     A file is inflated once from its beginning, a bounded part at a time; a task holds one record. The index
     names only files that were finished.
     """
+    ship(files.sparkSession)
     make_folder(out_folder)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +224,8 @@ def read_records(index: DataFrame, folder: str, tasks: int, with_html: bool = Tr
     payload of responses (null for revisits, or when it is not asked for).
     """
 
+    ship(index.sparkSession)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, stream = "", None
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from coursemill.store import Store
 
-from .common import Words, grams, pieces, text_bytes, words_of
+from .common import Words, grams, pieces, ship, text_bytes, words_of
 
 #: Bytes of benchmark text that one pass over the documents holds in memory. More text makes more passes.
 BLOCK_BYTES = 2 << 20
@@ -208,6 +208,7 @@ def contamination(
     structure ``row``, so that rows can be filtered without joining them.
     """
     spark = docs.sparkSession
+    ship(spark)
     found = docs.select(
         F.col(id_column).alias("_id"),
         F.col(text_column).alias("_text"),
