@@ -8,16 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def by_id(df: DataFrame, wanted: int) -> DataFrame:
-    """Row with this id, or nothing. The equality reaches the scan."""
-    return df.filter(F.col("id") == F.lit(wanted))
-
-
-def owned_by(df: DataFrame, wanted: int, owner: str, user: int) -> DataFrame:
-    """Row with this id if it belongs to ``user``."""
-    return by_id(df, wanted).filter(F.col(owner) == F.lit(user))
-
-
 def rename(df: DataFrame, **names: str) -> DataFrame:
     """Select ``source`` columns under new names: ``rename(users, user_id='id', username='username')``."""
     return df.select(*[F.col(source).alias(target) for target, source in names.items()])

@@ -1,4 +1,8 @@
-"""Set-based versions of get-or-create, update-or-create and set replacement."""
+"""Set-based versions of get-or-create, update-or-create and set replacement.
+
+A request's or a feed's id tells its place in the order, never the id of the row it makes: new rows take the
+table's highest id plus their number, as a table that hands out ids would give them.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import one_per_key
+from ..store import Store
+from .numbering import number_rows, one_per_key
+
+
+def with_new_ids(existing: DataFrame, new: DataFrame, order: Sequence[str], store: Store) -> DataFrame:
+    """``new`` with ids that follow the highest of ``existing``, in ``order`` (which must have no ties)."""
+    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    numbered = number_rows(new, [], [F.col(c) for c in order], store, "_number")
+    columns = dict.fromkeys(["id", *new.columns])
+    return numbered.select(*[(highest + F.col("_number")).alias("id") if c == "id" else F.col(c) for c in columns])
 
 
 def absent(existing: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -17,10 +30,11 @@ def absent(existing: DataFrame, new: DataFrame, key: Sequence[str], order: Seque
 
 
 def insert_if_absent(
-    existing: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str]
+    existing: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str], store: Store
 ) -> DataFrame:
-    """``existing`` plus the rows of ``new`` that bring a new natural key."""
-    return existing.unionByName(absent(existing, new, key, order), allowMissingColumns=True)
+    """``existing`` plus the rows of ``new`` that bring a new natural key, under new ids in ``order``."""
+    created = with_new_ids(existing, absent(existing, new, key, order), order, store)
+    return existing.unionByName(created, allowMissingColumns=True)
 
 
 def set_difference_plan(current: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -36,10 +50,11 @@ def upsert(
     changes: DataFrame,
     key: str,
     overwrite: Mapping[str, Column],
+    store: Store,
 ) -> DataFrame:
     """Update the rows of ``existing`` named by ``key``, append the rest of ``changes``.
 
-    ``changes`` has one row per key. ``overwrite`` gives, per column, the expression for an
+    ``changes`` has one row per key; its ``id`` gives the order in which new rows get ids. ``overwrite`` gives, per column, the expression for an
     updated row in terms of ``old.<column>`` and ``new.<column>``. Should several existing rows
     share a key, the one with the lowest id is updated. Both joins are on unique keys.
     """
@@ -60,4 +75,4 @@ def upsert(
         )
     )
     created = changes.join(targets, key, "left_anti").select(*existing.columns)
-    return updated.unionByName(created)
+    return updated.unionByName(with_new_ids(existing, created, ["id"], store))

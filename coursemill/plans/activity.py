@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import strip
 from ..operators.lookup import only_existing, rename
+from ..operators.merging import with_new_ids
 from ..operators.numbering import first_n
 from ..shop import Shop
+from ..store import Store
 
 WATCH_MINUTES = 30
 STARTER_LESSONS = 2
@@ -18,8 +20,8 @@ def buyers_only(shop: Shop, requests: DataFrame) -> DataFrame:
     return only_existing(requests, shop["enrollments"], {"user_id": "student_id", "course_id": "course_id"})
 
 
-def watch_log(shop: Shop, requests: DataFrame) -> DataFrame:
-    """Learning records for watch requests ``(id, user_id, course_id, watched_at)`` of enrolled users."""
+def watched(shop: Shop, requests: DataFrame) -> DataFrame:
+    """What watch requests ``(id, user_id, course_id, watched_at)`` of enrolled users record; ids are the requests'."""
     return buyers_only(shop, requests).select(
         "id",
         "user_id",
@@ -30,50 +32,61 @@ def watch_log(shop: Shop, requests: DataFrame) -> DataFrame:
     )
 
 
+def watch_log(shop: Shop, requests: DataFrame, store: Store) -> DataFrame:
+    """New learning records for watch requests, with new ids in time order."""
+    return with_new_ids(shop["learning_records"], watched(shop, requests), ["watched_at", "id"], store)
+
+
+SUBMITTED = ["user_id", "course_id", "rating", "comment", "created_at", "updated_at", "first_id", "last_id"]
+
+
 def submitted_reviews(shop: Shop, submissions: DataFrame) -> DataFrame:
-    """Submissions ``(id, user_id, course_id, rating, comment, submitted_at)`` of buyers, as review rows."""
+    """Submissions ``(id, user_id, course_id, rating, comment, submitted_at)`` of buyers, to be merged."""
     return buyers_only(shop, submissions).select(
-        "id",
         "user_id",
         "course_id",
         "rating",
         F.nullif(strip(F.col("comment")), F.lit("")).alias("comment"),
         F.col("submitted_at").alias("created_at"),
         F.col("submitted_at").alias("updated_at"),
+        F.col("id").alias("first_id"),
+        F.col("id").alias("last_id"),
     )
 
 
-def merge_reviews(*review_rows: DataFrame) -> DataFrame:
-    """One review per (user, course): the first row gives id and creation time, the last the content.
+def merge_submissions(rows: DataFrame) -> DataFrame:
+    """One row per (user, course): the first submission gives the creation time, the last the content.
 
-    An aggregation, so it combines on the map side, and merging is associative: merged reviews
-    can be merged again with later ones.
+    An aggregation, so it combines on the map side. First and last are told by (time, id of the submission), and
+    both ids are carried along, so merging is associative: merged rows can be merged again with others.
     """
-    rows = review_rows[0].withColumn("_round", F.lit(0))
-    for i, more in enumerate(review_rows[1:], start=1):
-        rows = rows.unionByName(more.withColumn("_round", F.lit(i)))
-    first = F.struct("_round", "created_at", "id")
-    last = F.struct("_round", "updated_at", "id")
-    content = F.max_by(F.struct("rating", "comment", "updated_at"), last)
+    first, last = F.struct("created_at", "first_id"), F.struct("updated_at", "last_id")
     return (
         rows.groupBy("user_id", "course_id")
-        .agg(F.min_by(F.struct("id", "created_at"), first).alias("_first"), content.alias("_last"))
-        .select(
-            "_first.id",
-            "user_id",
-            "course_id",
-            "_last.rating",
-            "_last.comment",
-            "_first.created_at",
-            "_last.updated_at",
-        )
+        .agg(F.min(first).alias("_first"), F.max_by(F.struct("rating", "comment", last.alias("at")), last).alias("_last"))
+        .select("user_id", "course_id", "_last.rating", "_last.comment", "_first.*", "_last.at.*")
+        .select(*SUBMITTED)
     )
 
 
-def upsert_reviews(shop: Shop, submissions: DataFrame) -> DataFrame:
+def reviews_with(reviews: DataFrame, merged: DataFrame, store: Store) -> DataFrame:
+    """The review table after merged submissions: known reviews keep id and creation time, others are new rows."""
+    columns = ["id", "user_id", "course_id", "rating", "comment", "created_at", "updated_at"]
+    key = ["user_id", "course_id"]
+    changed = merged.select(*key, F.struct("rating", "comment", "updated_at").alias("_new"))
+    known = reviews.join(changed, key, "left")
+    content = [
+        F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+        for c in ("rating", "comment", "updated_at")
+    ]
+    known = known.select("id", *key, *content, "created_at").select(*columns)
+    new = merged.join(reviews, key, "left_anti").withColumn("id", F.col("first_id"))
+    return known.unionByName(with_new_ids(reviews, new.select(*columns), ["created_at", "id"], store))
+
+
+def upsert_reviews(shop: Shop, submissions: DataFrame, store: Store) -> DataFrame:
     """The review table after a batch of submissions."""
-    new = submitted_reviews(shop, submissions)
-    return merge_reviews(shop["reviews"].select(*new.columns), new)
+    return reviews_with(shop["reviews"], merge_submissions(submitted_reviews(shop, submissions)), store)
 
 
 def starter_lessons(shop: Shop) -> DataFrame:

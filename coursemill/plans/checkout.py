@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import coupon_discount, coupon_usable, strip
 from ..operators.lookup import only_existing, only_missing, rename
-from ..operators.merging import absent
-from ..operators.numbering import first_n, number_rows, one_per_key
+from ..operators.merging import absent, with_new_ids
+from ..operators.numbering import number_rows, one_per_key
 from ..schema import PURCHASE_NOTICE_TITLE
 from ..shop import Shop
 from ..store import Store
@@ -135,19 +135,10 @@ def _same_cutoffs(a: DataFrame, b: DataFrame) -> bool:
     return both.filter(F.col("_a").isNull() | F.col("_b").isNull()).isEmpty()
 
 
-# Up to this many uses left, a limited window finds the last allowed winner: map tasks pass on no
-# more than that many rows per coupon. Beyond, rows are numbered by a distributed sort.
-WINDOW_USES = 1000
-
-
-def _last_allowed(winners: DataFrame, most_left: int, store: Store) -> DataFrame:
+def _last_allowed(winners: DataFrame, store: Store) -> DataFrame:
     """Per coupon, the winner that takes its last use; nothing for a coupon with uses to spare."""
     rows = winners.select("coupon_id", "left", *_TIME_ORDER)
-    order = [F.col(c) for c in _TIME_ORDER]
-    if most_left <= WINDOW_USES:
-        ranked = first_n(rows, ["coupon_id"], order, most_left)
-    else:
-        ranked = number_rows(rows, ["coupon_id"], order, store)
+    ranked = number_rows(rows, ["coupon_id"], [F.col(c) for c in _TIME_ORDER], store)
     return ranked.filter(F.col("position") == F.col("left")).select(
         "coupon_id", F.col("requested_at").alias("_cut_at"), F.col("id").alias("_cut_id")
     )
@@ -171,8 +162,7 @@ def accept(shop: Shop, priced: DataFrame, store: Store) -> DataFrame:
         _limited(shop).join(asked, "coupon_id").filter(F.col("_asked") > F.col("left")).select("coupon_id", "left"),
         "checkout-contested",
     )
-    most_left = contested.agg(F.max("left")).first()[0]
-    if most_left is None:
+    if contested.isEmpty():
         return _first_per_pair(good)
 
     pairs = (
@@ -189,13 +179,16 @@ def accept(shop: Shop, priced: DataFrame, store: Store) -> DataFrame:
     )
     while True:
         winners = _first_per_pair(_before_cutoff(disputed, cutoffs)).join(contested, "coupon_id")
-        moved = store.keep(_last_allowed(winners, most_left, store), "checkout-cutoffs")
+        moved = store.keep(_last_allowed(winners, store), "checkout-cutoffs")
         at_rest = _same_cutoffs(moved, cutoffs)
         cutoffs = moved
         if at_rest:
             return settled.unionByName(_first_per_pair(_before_cutoff(disputed, cutoffs)))
 
 
+PURCHASED = ["user_id", "course_id", "requested_at", "id"]
+
+
 class Purchases:
     """The rows that a batch of accepted requests adds to each table.
 
@@ -203,8 +196,9 @@ class Purchases:
     id so far plus that number.
     """
 
-    def __init__(self, shop: Shop, accepted: DataFrame, store: Store):
-        self.shop = shop
+    def __init__(self, shop: Shop, accepted: DataFrame, store: Store, enrolled: DataFrame | None = None):
+        """``enrolled`` names the requests that enrol, where these are others than the accepted ones."""
+        self.shop, self.store, self.enrolled = shop, store, enrolled
         order = [F.col(c) for c in _TIME_ORDER]
         self.numbered = store.keep(number_rows(accepted, [], order, store, "number"), "purchases")
 
@@ -249,13 +243,12 @@ class Purchases:
 
     def new_enrollments(self) -> DataFrame:
         """Only pairs that are not enrolled yet."""
-        rows = self.numbered.select(
-            self._next_id("enrollments").alias("id"),
-            F.col("user_id").alias("student_id"),
-            "course_id",
-            F.col("requested_at").alias("purchased_at"),
+        key, known = ["student_id", "course_id"], self.shop["enrollments"]
+        requests = self.numbered if self.enrolled is None else self.enrolled
+        rows = requests.select(
+            "id", F.col("user_id").alias("student_id"), "course_id", F.col("requested_at").alias("purchased_at")
         )
-        return absent(self.shop["enrollments"], rows, ["student_id", "course_id"], ["id"])
+        return with_new_ids(known, absent(known, rows, key, ["purchased_at", "id"]), ["purchased_at", "id"], self.store)
 
     def enrollments(self) -> DataFrame:
         return self.shop["enrollments"].unionByName(self.new_enrollments())
@@ -305,8 +298,8 @@ def checkout(shop: Shop, requests: DataFrame, store: Store) -> Purchases:
 def planned_purchases(shop: Shop, plan: DataFrame, store: Store) -> Purchases:
     """Purchases from a plan ``(id, user_id, course_id, coupon_id, requested_at)``.
 
-    Coupons are applied without asking whether they are usable, and a pair that already has an
-    order is skipped.
+    Coupons are applied without asking whether they are usable. A pair that already has an order gets no
+    other order, item, payment or usage, but is enrolled if it is not yet: the order may have been cancelled.
     """
     prices = rename(shop["courses"], course_id="id", price="price")
     coupons = rename(
@@ -335,7 +328,8 @@ def planned_purchases(shop: Shop, plan: DataFrame, store: Store) -> Purchases:
             (price - discount).alias("final"),
         )
     )
-    return Purchases(shop, absent(shop["orders"], priced, ["user_id", "course_id"], _TIME_ORDER), store)
+    fresh = absent(shop["orders"], priced, ["user_id", "course_id"], _TIME_ORDER)
+    return Purchases(shop, fresh, store, enrolled=priced.select(*PURCHASED))
 
 
 def coupon_validity(shop: Shop, at: F.Column) -> DataFrame:

@@ -1,3 +1,3 @@
-from .feeds import review_feed, reviews_after, watch_feed, watch_totals
+from .feeds import compact_reviews, compact_watched, review_feed, reviews_after, watch_feed, watch_totals
 
-__all__ = ["review_feed", "reviews_after", "watch_feed", "watch_totals"]
+__all__ = ["compact_reviews", "compact_watched", "review_feed", "reviews_after", "watch_feed", "watch_totals"]

@@ -3,19 +3,21 @@
 Each micro-batch writes its own small, already aggregated folder ``batch_id=N``; the current
 figures are a merge over the folders. Nothing is kept in streaming state, so state cannot
 grow with the number of users, and a repeated batch overwrites its folder instead of counting
-twice. Both merges are associative: the folders may be compacted at any time.
+twice. Both merges are associative, so the folders of a stream that stands still can be compacted: their merge
+is written to another folder, which is read in their place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.activity import merge_reviews, submitted_reviews, watch_log
+from ..plans.activity import SUBMITTED, merge_submissions, reviews_with, submitted_reviews, watched
 from ..shop import Shop
+from ..store import Store
 
 
 def _write_batches(
@@ -36,29 +38,50 @@ def watch_feed(shop: Shop, requests: DataFrame, folder: str, checkpoint: str) ->
     """Stream of watch requests -> minutes per (user, course) of each batch."""
 
     def minutes(batch: DataFrame) -> DataFrame:
-        logged = watch_log(shop, batch)
-        return logged.groupBy("user_id", "course_id").agg(F.sum("minutes").alias("watch_minutes"))
+        return watched(shop, batch).groupBy("user_id", "course_id").agg(F.sum("minutes").alias("watch_minutes"))
 
     return _write_batches(requests, minutes, folder, checkpoint)
 
 
-def watch_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Minutes per (user, course) over all batches so far."""
-    batches = spark.read.schema("user_id bigint, course_id bigint, watch_minutes bigint").parquet(folder)
+WATCHED = "user_id bigint, course_id bigint, watch_minutes bigint"
+
+
+def _minutes(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    batches = spark.read.schema(WATCHED).option("recursiveFileLookup", True).parquet(*folders)
     return batches.groupBy("user_id", "course_id").agg(F.sum("watch_minutes").alias("watch_minutes"))
 
 
+def watch_totals(spark: SparkSession, *folders: str) -> DataFrame:
+    """Minutes per (user, course) over all batches so far, in the stream's folder and in compacted ones."""
+    return _minutes(spark, folders)
+
+
+def compact_watched(spark: SparkSession, folders: Sequence[str], out: str) -> None:
+    """Write the totals of the batches in ``folders`` as one folder, to be read in their place."""
+    _minutes(spark, folders).write.parquet(out)
+
+
 def review_feed(shop: Shop, submissions: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Stream of review submissions -> merged reviews of each batch."""
     return _write_batches(
-        submissions, lambda batch: merge_reviews(submitted_reviews(shop, batch)), folder, checkpoint
+        submissions, lambda batch: merge_submissions(submitted_reviews(shop, batch)), folder, checkpoint
     )
 
 
-def reviews_after(shop: Shop, spark: SparkSession, folder: str) -> DataFrame:
-    """The review table after all batches so far."""
-    base = shop["reviews"]
-    columns = ["id", "user_id", "course_id", "rating", "comment", "created_at", "updated_at"]
-    base = base.select(*columns)
-    batches = spark.read.schema(base.schema).parquet(folder).select(*columns)
-    return merge_reviews(base, batches)
+def _submissions(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    schema = (
+        "user_id bigint, course_id bigint, rating int, comment string, created_at timestamp_ntz, "
+        "updated_at timestamp_ntz, first_id bigint, last_id bigint"
+    )
+    batches = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*folders)
+    return merge_submissions(batches.select(*SUBMITTED))
+
+
+def reviews_after(shop: Shop, spark: SparkSession, store: Store, *folders: str) -> DataFrame:
+    """The review table after all batches so far, in the stream's folder and in compacted ones."""
+    return reviews_with(shop["reviews"], _submissions(spark, folders), store)
+
+
+def compact_reviews(spark: SparkSession, folders: Sequence[str], out: str) -> None:
+    """Write the merge of the batches in ``folders`` as one folder, to be read in their place."""
+    _submissions(spark, folders).write.parquet(out)
