@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code_label, contains_text, day_ranges, time_literal
@@ -17,13 +17,9 @@ from ..schema import table
 from ..shop import Shop
 from ..store import Store
 from .labels import label_frame
-from .numbering import number_rows
 from .paths import Path, columns_over, restrict
 
 PAGE_ROWS = 100
-# Pages up to here come from a top-k; beyond, rows are numbered by a distributed sort instead,
-# because a top-k would gather all rows before the page in one task.
-TOP_K_PAGES = 100
 
 
 @dataclass(frozen=True)
@@ -213,11 +209,24 @@ def apply_filters(
 
 
 def _page(rows: DataFrame, page: int, store: Store) -> DataFrame:
+    """Rows of one page, newest id first. Every page is found in the same way.
+
+    Ids are cut into ranges and written, the ranges counted, and only those that the page touches are sorted:
+    a page far back costs what the first one costs.
+    """
     skipped = page * PAGE_ROWS
-    if page < TOP_K_PAGES:
-        return rows.orderBy(F.desc("id")).offset(skipped).limit(PAGE_ROWS)
-    placed = number_rows(rows.select("id"), [], [F.desc("id")], store)
-    wanted = placed.filter((F.col("position") > skipped) & (F.col("position") <= skipped + PAGE_ROWS))
+    ids = rows.select("id").repartitionByRange(F.desc("id")).withColumn("_part", F.spark_partition_id())
+    ids = store.keep(ids, "page-ids")
+    # One row per range.
+    until = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ids.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_until", F.sum("_n").over(until))
+    begin = F.col("_until") - F.col("_n")
+    touched = parts.filter((begin < skipped + PAGE_ROWS) & (F.col("_until") > skipped)).select("_part", begin.alias("_begin"))
+    touched = touched.orderBy("_part").collect()  # neighbours that hold one page
+    if not touched:
+        return rows.limit(0)
+    near = ids.filter(F.col("_part").isin([r["_part"] for r in touched])).orderBy(F.desc("id"))
+    wanted = near.offset(skipped - touched[0]["_begin"]).limit(PAGE_ROWS)
     return restrict(rows, wanted.select(F.col("id").alias("_wanted")))
 
 
@@ -232,8 +241,8 @@ def browse(
 ) -> DataFrame:
     """One page of a table, newest id first, with labels in place of keys and codes.
 
-    Filtering, searching and the top-100 come first; labels are then looked up for the rows of
-    that page alone.
+    Filtering, searching and finding the page come first; labels are then looked up for the rows of
+    that page alone, and the page is put in order at the end.
     """
     listing = LISTINGS[name]
     rows = shop[name].select(
@@ -262,4 +271,4 @@ def browse(
             columns.append(code_label(F.col(column_name), column.choices).alias(column_name))
         else:
             columns.append(F.col(column_name))
-    return result.select(*columns)
+    return result.select(*columns).orderBy(F.desc("id"))

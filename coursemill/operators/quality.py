@@ -1,6 +1,7 @@
 """Checks of the tables against their declared constraints.
 
-Every check gives one row per violation: (rule, table_name, column_name, id).
+Every check gives one row per violation: (rule, table_name, column_name, id). Tables without an id are checked
+as well; their violations have a null id, and a repeated key is one violation.
 """
 
 from __future__ import annotations
@@ -45,6 +46,19 @@ def _row_tests(t: Table, present: set[str]) -> Iterable[tuple[str, str, str]]:
         yield "order_arithmetic", "discount_amount", "discount_amount > original_price"
 
 
+def _with_id(df: DataFrame) -> DataFrame:
+    return df if "id" in df.columns else df.withColumn("id", F.lit(None).cast("bigint"))
+
+
+def absent_columns(name: str, df: DataFrame) -> list[DataFrame]:
+    """One row, with a null id, for every declared column that the table does not have."""
+    absent = [(c.name,) for c in table(name).columns if c.name not in df.columns]
+    if not absent:
+        return []
+    found = df.sparkSession.createDataFrame(absent, "column_name string")
+    return [found.selectExpr("'columns' as rule", f"'{name}' as table_name", "column_name", "cast(null as bigint) as id")]
+
+
 def row_violations(name: str, df: DataFrame, rules: Sequence[str] = ROW_RULES) -> list[DataFrame]:
     """All single-row rules of a table in one scan without a shuffle; nothing if no rule applies."""
     present = set(df.columns)
@@ -53,9 +67,9 @@ def row_violations(name: str, df: DataFrame, rules: Sequence[str] = ROW_RULES) -
         for rule, column, test in _row_tests(table(name), present)
         if rule in rules
     ]
-    if not tests or "id" not in present:
+    if not tests:
         return []
-    found = df.selectExpr("id", f"explode(array_compact(array({', '.join(tests)}))) as v")
+    found = _with_id(df).selectExpr("id", f"explode(array_compact(array({', '.join(tests)}))) as v")
     return [found.selectExpr("v.rule", f"'{name}' as table_name", "v.column_name", "id")]
 
 
@@ -64,10 +78,13 @@ def repeated_keys(
 ) -> DataFrame:
     """Rows that repeat the key of a row with a lower id: those an insert would have refused.
 
+    Without an id, a key that repeats is reported once.
+
     Keys are counted with map-side combine; only keys that do repeat go back to the rows.
     """
     columns = {f"_k{i}": F.lower(F.col(k)) if k in fold_case else F.col(k) for i, k in enumerate(key)}
-    keyed = df.select("id", *[c.alias(a) for a, c in columns.items()])
+    found = [F.lit(rule).alias("rule"), F.lit(name).alias("table_name"), F.lit(",".join(key)).alias("column_name"), F.col("id")]
+    keyed = _with_id(df).select("id", *[c.alias(a) for a, c in columns.items()])
     for a in columns:
         keyed = keyed.filter(F.col(a).isNotNull())
     repeated = (
@@ -76,10 +93,12 @@ def repeated_keys(
         .filter("_n > 1")
         .drop("_n")
     )
+    if "id" not in df.columns:
+        return _with_id(repeated).select(*found)
     return (
         keyed.join(repeated, list(columns))
         .filter(F.col("id") > F.col("_first"))
-        .select(F.lit(rule).alias("rule"), F.lit(name).alias("table_name"), F.lit(",".join(key)).alias("column_name"), "id")
+        .select(*found)
     )
 
 
@@ -90,8 +109,6 @@ def unique_violations(
     name: str, df: DataFrame, rules: Sequence[str] = UNIQUE_RULES
 ) -> list[DataFrame]:
     t = table(name)
-    if "id" not in df.columns:
-        return []
     keys = [("unique" if len(key) == 1 else "unique_pairs", key) for key in t.unique]
     keys += [("one_to_one", (key,)) for key in t.one_to_one]
     return [
@@ -107,7 +124,7 @@ def dangling_keys(name: str, df: DataFrame, key: str, parent: DataFrame) -> Data
     """
     values = df.select(F.col(key).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
     dangling = values.join(parent.select(F.col("id").alias("_value")), "_value", "left_anti")
-    return df.join(dangling, F.col(key) == F.col("_value"), "left_semi").select(
+    return _with_id(df).join(dangling, F.col(key) == F.col("_value"), "left_semi").select(
         F.lit("foreign_keys").alias("rule"),
         F.lit(name).alias("table_name"),
         F.lit(key).alias("column_name"),
@@ -117,8 +134,6 @@ def dangling_keys(name: str, df: DataFrame, key: str, parent: DataFrame) -> Data
 
 def key_violations(shop: Shop, name: str) -> list[DataFrame]:
     df = shop[name]
-    if "id" not in df.columns:
-        return []
     return [
         dangling_keys(name, df, c.name, shop[c.refers_to])
         for c in table(name).foreign_keys
@@ -131,5 +146,6 @@ def validate(shop: Shop, names: Sequence[str] | None = None) -> DataFrame:
     frames: list[DataFrame] = []
     for name in names or list(shop):
         df = shop[name]
-        frames += [*row_violations(name, df), *unique_violations(name, df), *key_violations(shop, name)]
+        frames += [*absent_columns(name, df), *row_violations(name, df)]
+        frames += [*unique_violations(name, df), *key_violations(shop, name)]
     return union_all(frames)
