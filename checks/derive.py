@@ -38,7 +38,7 @@ DEFINITIONS: dict[str, str] = {
     "lms_courses": """
         select p_partkey as id, concat(p_name,' ',p_brand) as title,
           (p_partkey % (select count(*) from supplier))*2+1 as teacher_id,
-          case when p_size=50 then null else k.id end as category_id,
+          case when p_size>=49 then null else k.id end as category_id,
           cast(floor(p_retailprice) as int) as price, concat(p_type,', "',p_brand,'"') as description,
           cast(null as varchar(10)) as image,
           case when p_size<=16 then 'beginner' when p_size<=33 then 'intermediate' else 'advanced' end as level,
@@ -63,15 +63,22 @@ DEFINITIONS: dict[str, str] = {
     "lms_coupons": """
         select cast(id as bigint) as id, code, name, discount_type, cast(discount_value as bigint) as discount_value,
           cast(min_spend as bigint) as min_spend, cast(s as {time}) as start_date, cast(e as {time}) as end_date,
-          cast(usage_limit as bigint) as usage_limit, is_active, {epoch} as created_at
+          cast(case when code='SALE20' then (select count(*) from customer) else usage_limit end as bigint) as usage_limit,
+          is_active, {epoch} as created_at
         from (values
           (1,'NEW100','n1','amount',100,500,'1995-01-01 00:00:00','2030-01-01 00:00:00',0,true),
-          (2,'SALE20','n2','percent',20,1000,'1995-01-01 00:00:00','2030-01-01 00:00:00',100,true),
+          (2,'SALE20','n2','percent',20,950,'1995-01-01 00:00:00','2030-01-01 00:00:00',100,true),
           (3,'OLD50','n3','amount',50,0,'1995-01-01 00:00:00','1996-01-01 00:00:00',0,true),
           (4,'OFF10','n4','percent',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',0,false),
           (5,'FEW15','n5','percent',15,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',50,true),
           (6,'HALF','n6','percent',50,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',30,true)
-        ) as t(id,code,name,discount_type,discount_value,min_spend,s,e,usage_limit,is_active)""",
+        ) as t(id,code,name,discount_type,discount_value,min_spend,s,e,usage_limit,is_active)
+        union all
+        select s_suppkey+7, concat('SUP', cast(s_suppkey as varchar(20))), s_name,
+          case when s_suppkey % 2 = 0 then 'amount' else 'percent' end, cast(10 + s_suppkey % 40 as bigint),
+          cast(900 + s_suppkey % 100 as bigint), {epoch}, cast('2030-01-01 00:00:00' as {time}),
+          cast(case when s_suppkey % 3 = 0 then 0 else 20 end as bigint), s_suppkey % 4 <> 0, {epoch}
+        from supplier""",
     "lms_order_items": """
         select l_orderkey*1000000+l_partkey as id, l_orderkey as order_id, l_partkey as course_id,
           cast(c.price as bigint) as price
@@ -124,9 +131,15 @@ DEFINITIONS: dict[str, str] = {
           cast(floor(e.value) as bigint) as minutes, w.watched_at
         from lms_watch_requests w join events e on e.event_id=w.id""",
     "lms_review_submissions": """
-        select event_id as id, user_id*2 as user_id, event_id % 100 as course_id, cast(1+event_id%5 as int) as rating,
-          concat('comment ',cast(event_id as varchar(20))) as comment, ts as submitted_at
-        from events where event_type='purchase'""",
+        select event_id as id, user_id*2 as user_id,
+          case when event_id % 2 = 0 then coalesce(f.c, event_id % (select count(*) from part))
+            else event_id % (select count(*) from part) end as course_id,
+          cast(1+event_id%5 as int) as rating, concat('comment ',cast(event_id as varchar(20))) as comment,
+          ts as submitted_at
+        from events left join (
+          select student_id, min(course_id) as c from lms_enrollments group by student_id
+        ) f on f.student_id=user_id*2
+        where event_type='purchase'""",
     "lms_reviews": """
         select id, user_id, course_id, rating, comment, created_at, updated_at from (
           select *, row_number() over (partition by user_id, course_id order by submitted_at desc, id desc) as rn,
@@ -152,10 +165,15 @@ DEFINITIONS: dict[str, str] = {
           cast(discount_value as bigint) as discount_value, {epoch} as start_date, {epoch} as end_date, is_active,
           {epoch} as created_at
         from (values (1,'promo','percent',15,true),(2,'small','amount',50,false))
-          as t(id,name,discount_type,discount_value,is_active)""",
+          as t(id,name,discount_type,discount_value,is_active)
+        union all
+        select cast(2 + row_number() over (order by p_brand) as bigint), p_brand, cast(null as varchar(10)), 'percent',
+          cast(10 as bigint), {epoch}, {epoch}, p_brand <> 'Brand#11', {epoch}
+        from (select distinct p_brand from part) b""",
     "lms_promotion_courses": """
         select cast(1 as bigint) as promotion_id, p_partkey as course_id from part where p_type='PROMO'
-        union all select cast(2 as bigint), p_partkey from part where p_size<=5""",
+        union all select cast(2 as bigint), p_partkey from part where p_size<=5
+        union all select b.id, p_partkey from part join lms_promotions b on b.name=p_brand""",
     "lms_user_coupons": """
         select c_custkey as id, c_custkey*2 as user_id, cast(1 as bigint) as coupon_id,
           case c_custkey % 9 when 0 then 'used' when 3 then 'expired' else 'unused' end as status,
@@ -179,7 +197,7 @@ DEFINITIONS: dict[str, str] = {
         select conv_id as id, (conv_id % (select count(*) from customer))*2 as user_id,
           conv_id % (select count(*) from part) as course_id,
           case when conv_id % 3 = 0 then null else (conv_id % (select count(*) from part))*4+3+ conv_id % 4 end as lesson_id,
-          substring(text,1,40) as title, text as content, o.o_orderdate as created_at
+          text as title, text as content, o.o_orderdate as created_at
         from conversations left join orders o on o.o_orderkey=conv_id where turn=0""",
     "lms_answers": """
         select min(c.conv_id*1000+c.turn) as id, c.conv_id as question_id, min((q.course_id % (select count(*) from supplier))*2+1) as user_id,
@@ -194,11 +212,18 @@ DEFINITIONS: dict[str, str] = {
     # ---- request feeds -----------------------------------------------------------------
     "lms_checkout_requests": """
         select o_orderkey as id, o_custkey*2 as user_id, (o_orderkey*31) % (select count(*) from part) as course_id,
-          case o_orderpriority when '1-URGENT' then ' new100 ' when '2-HIGH' then 'SALE20' when '3-MEDIUM' then 'nope'
+          case o_orderpriority when '1-URGENT' then ' new100 ' when '2-HIGH' then 'SALE20' when '3-MEDIUM' then case
+            when o_orderkey % 2 = 0 then concat('sup', cast(o_orderkey % (select count(*) from supplier) as varchar(20))) else 'nope' end
             when '5-LOW' then case when o_orderkey % 4 = 1 then 'OLD50' else 'half' end
             else case when o_orderkey % 3 = 1 then '' else 'Few15' end end as coupon_code,
           o_orderdate as requested_at
         from orders""",
+    "lms_purchase_plan": """
+        select id*2 as id, user_id, course_id, coupon_id, created_at as requested_at
+        from lms_orders where course_id is not null
+        union all
+        select id*2+1, user_id, (course_id+1) % (select count(*) from part), coupon_id, created_at
+        from lms_orders where course_id is not null""",
     "lms_course_forms": """
         select (l_orderkey*1000000+l_partkey)*10000+l_suppkey as id, l_suppkey*2+1 as user_id,
           l_partkey as course_id,

@@ -120,6 +120,28 @@ _SERIES = f"""
       coalesce(w.n,0) as watch_minutes, coalesce({_avg1('r.s', 'r.n')}, 0.0) as rating
     from lms_courses c {_FACTS}"""
 
+def _student_chart(points: int) -> str:
+    return f"""
+        select user_id, cast(floor((p-1)/{points}) as int) as part,
+          '[' || string_agg(cast(to_json(title) as varchar), ', ' order by p) || ']' as course_labels_json,
+          '[' || string_agg(cast(total as varchar), ', ' order by p) || ']' as course_minutes_json
+        from (select *, row_number() over (partition by user_id order by total desc, title) as p from ({_BY_TITLE}) y) z
+        group by 1, 2"""
+
+
+def _teacher_chart(points: int) -> str:
+    return f"""
+        select teacher_id, cast(floor((p-1)/{points}) as int) as part,
+          '[' || string_agg(cast(to_json(title) as varchar), ', ' order by p) || ']' as course_labels_json,
+          '[' || string_agg(cast(purchase_count as varchar), ', ' order by p) || ']' as purchase_counts_json,
+          '[' || string_agg(cast(revenue as varchar), ', ' order by p) || ']' as revenue_data_json,
+          '[' || string_agg(cast(watch_minutes as varchar), ', ' order by p) || ']' as watch_minutes_data_json,
+          '[' || string_agg(case when rating=0 then '0' else cast(rating as varchar) end, ', ' order by p) || ']'
+            as rating_data_json
+        from (select *, row_number() over (partition by teacher_id order by course_id) as p from ({_SERIES}) y) z
+        group by 1, 2"""
+
+
 METRICS = {
     "course_scorecard": f"""
         select c.id as course_id, c.title, c.teacher_id, c.price, coalesce(e.n,0) as purchase_count,
@@ -175,28 +197,33 @@ METRICS = {
           union all select 'minutes', course_id, cast(sum(minutes) as bigint), 20 from lms_learning_records group by 2
         ) z""",
     # Points per row is 1000, so the positions are cut into parts of that size.
-    "student_chart_json": f"""
-        select user_id, cast(floor((p-1)/1000) as int) as part,
-          '[' || string_agg(cast(to_json(title) as varchar), ', ' order by p) || ']' as course_labels_json,
-          '[' || string_agg(cast(total as varchar), ', ' order by p) || ']' as course_minutes_json
-        from (select *, row_number() over (partition by user_id order by total desc, title) as p from ({_BY_TITLE}) y) z
-        group by 1, 2""",
-    "teacher_chart_json": f"""
-        select teacher_id, cast(floor((p-1)/1000) as int) as part,
-          '[' || string_agg(cast(to_json(title) as varchar), ', ' order by p) || ']' as course_labels_json,
-          '[' || string_agg(cast(purchase_count as varchar), ', ' order by p) || ']' as purchase_counts_json,
-          '[' || string_agg(cast(revenue as varchar), ', ' order by p) || ']' as revenue_data_json,
-          '[' || string_agg(cast(watch_minutes as varchar), ', ' order by p) || ']' as watch_minutes_data_json,
-          '[' || string_agg(case when rating=0 then '0' else cast(rating as varchar) end, ', ' order by p) || ']'
-            as rating_data_json
-        from (select *, row_number() over (partition by teacher_id order by course_id) as p from ({_SERIES}) y) z
-        group by 1, 2""",
+    "student_chart_json": _student_chart(1000),
+    "student_chart_parts": _student_chart(2),
+    "teacher_chart_json": _teacher_chart(1000),
+    "teacher_chart_parts": _teacher_chart(3),
 }
 
 # --- catalogue and course pages ---------------------------------------------------------
 _CARDS = """lms_courses c join lms_users u on u.id=c.teacher_id left join lms_categories k on k.id=c.category_id
     where c.is_published"""
 
+def _curriculum(lessons: int) -> str:
+    return f"""
+        select course_id, chapter_order, chapter_id, chapter_title, cast(floor((p-1)/{lessons}) as int) as part,
+          '[' || coalesce(string_agg(lesson, ',' order by p), '') || ']' as lessons
+        from (
+          select *, case when lesson_id is not null then '{{"position":' || p || ',"lesson_id":' || lesson_id || ',"label":'
+            || cast(to_json(label) as varchar) || ',"duration_minutes":' || duration_minutes || ',"is_free_preview":'
+            || is_free_preview || '}}' end as lesson
+          from (
+            select h.course_id, h.id as chapter_id, h.title as chapter_title, h.sort_order as chapter_order,
+              s.id as lesson_id, h.sort_order || '-' || s.sort_order || ' ' || s.title as label,
+              s.duration_minutes, s.is_free_preview,
+              row_number() over (partition by h.id order by s.sort_order, s.id) as p
+            from lms_chapters h left join lms_lessons s on s.chapter_id=h.id) a) b
+        group by 1, 2, 3, 4, 5"""
+
+
 CATALOG = {
     "source_row_counts": _union([f"select '{t}' as table_name, count(*) as n from lms_{t}" for t in TABLES]),
     "catalog": f"""
@@ -228,6 +255,8 @@ CATALOG = {
     "course_reviews": """
         select v.id as review_id, v.course_id, u.username, v.rating, v.comment, v.created_at
         from lms_reviews v join lms_users u on u.id=v.user_id""",
+    "curriculum": _curriculum(500),
+    "curriculum_parts": _curriculum(1),
     "curriculum_flat": """
         select h.course_id, h.id as chapter_id, h.title as chapter_title, h.sort_order as chapter_order,
           s.id as lesson_id, s.sort_order as lesson_order, h.sort_order || '-' || s.sort_order || ' ' || s.title as label,
@@ -339,6 +368,11 @@ EXPORTS["export_row_counts"] = _union(
 )
 EXPORTS["export_csv_files"] = EXPORTS["export_row_counts"]
 
+def _fresh(table: str, order: str) -> str:
+    """Ids of new rows: the table's highest plus the number in ``order``."""
+    return f"cast((select coalesce(max(id),0) from lms_{table}) + row_number() over (order by {order}) as bigint)"
+
+
 # --- checkout ---------------------------------------------------------------------------
 _GIVEN = """case when {price} < {k}.min_spend then 0 when {k}.discount_type='amount'
     then least({k}.discount_value, {price}) when {k}.discount_type='percent'
@@ -368,16 +402,13 @@ _ELIGIBLE = """
     where exists (select 1 from lms_profiles p where p.user_id=r.user_id)
       and not exists (select 1 from lms_enrollments e where e.student_id=r.user_id and e.course_id=r.course_id)"""
 
-_NO_USES = "(select * from lms_coupon_usages where false)"
-
-
 def _first(rows: str) -> str:
     return f"""select id, user_id, course_id, coupon_id, requested_at, price, discount, final from (
         select *, row_number() over (partition by user_id, course_id order by requested_at, id) as pick from ({rows}) a
       ) b where pick=1"""
 
 
-def _accepted(uses: str, rounds: int = 6) -> str:
+def _accepted(uses: str, rounds: int = 10) -> str:
     """Serving in order, as the limit of repeated cut-offs; ``rounds`` is ample for the test data."""
     parts = [
         f"eligible as ({_ELIGIBLE})",
@@ -408,6 +439,14 @@ def _next(table: str) -> str:
     return f"(select coalesce(max(id),0) from lms_{table}) + number"
 
 
+_PLANNED = f"""
+    select * from (
+      select p.id, p.user_id, p.course_id, p.coupon_id, p.requested_at, cast(c.price as bigint) as price,
+        case when k.id is null then 0 else cast({_GIVEN.format(price='cast(c.price as bigint)', k='k')} as bigint) end as given,
+        row_number() over (partition by p.user_id, p.course_id order by p.requested_at, p.id) as pick
+      from lms_purchase_plan p join lms_courses c on c.id=p.course_id left join lms_coupons k on k.id=p.coupon_id) z
+    where pick=1"""
+
 CHECKOUT = {
     "coupon_discount": f"""
         select o.id as order_id, c.price, cast({_GIVEN.format(price='cast(c.price as bigint)', k='k')} as bigint) as discount
@@ -422,7 +461,16 @@ CHECKOUT = {
     "price_checkout": _priced("lms_checkout_requests", "lms_coupon_usages"),
     "checkout_eligible": _ELIGIBLE,
     "checkout_accepted": _ACCEPTED,
-    "checkout_accepted_capped": _accepted(_NO_USES),
+    "planned_orders": f"""
+        select {_fresh('orders', 'requested_at, p.id')} as id, user_id, course_id, coupon_id, price as original_price,
+          given as discount_amount, price - given as final_price, 'paid' as status, requested_at as created_at
+        from ({_PLANNED}) p
+        where not exists (select 1 from lms_orders o where o.user_id=p.user_id and o.course_id=p.course_id)""",
+    "planned_enrollments": f"""
+        select {_fresh('enrollments', 'requested_at, p.id')} as id, user_id as student_id, course_id,
+          requested_at as purchased_at
+        from ({_PLANNED}) p
+        where not exists (select 1 from lms_enrollments e where e.student_id=p.user_id and e.course_id=p.course_id)""",
     "checkout_orders": f"""
         select {_next('orders')} as id, user_id, course_id, coupon_id, price as original_price,
           discount as discount_amount, final as final_price, 'paid' as status, requested_at as created_at
@@ -437,7 +485,7 @@ CHECKOUT = {
     "checkout_enrollments": f"""
         select id, student_id, course_id, purchased_at from lms_enrollments
         union all
-        select {_next('enrollments')}, user_id, course_id, requested_at from {_NUMBERED} n""",
+        select {_fresh('enrollments', 'requested_at, n.id')}, user_id, course_id, requested_at from {_NUMBERED} n""",
     "checkout_coupon_usages": f"""
         select {_next('coupon_usages')} as id, user_id, coupon_id, {_next('orders')} as order_id,
           discount as discount_amount, requested_at as used_at
@@ -453,23 +501,27 @@ CHECKOUT = {
 }
 
 # --- other write paths ------------------------------------------------------------------
-_REVIEWS_AFTER = """
-    select min(id) filter (where first=1) as id, user_id, course_id, min(rating) filter (where last=1) as rating,
-      min(comment) filter (where last=1) as comment, min(created_at) filter (where first=1) as created_at,
-      min(updated_at) filter (where last=1) as updated_at
-    from (
-      select *, row_number() over (partition by user_id, course_id order by new, created_at, id) as first,
-        row_number() over (partition by user_id, course_id order by new desc, updated_at desc, id desc) as last
-      from (
-        select id, user_id, course_id, rating, comment, created_at, updated_at, 0 as new from lms_reviews
-        union all
-        select id, user_id, course_id, rating, comment, submitted_at, submitted_at, 1 from lms_review_submissions s
-        where exists (select 1 from lms_enrollments e where e.student_id=s.user_id and e.course_id=s.course_id)
-      ) a) b
-    group by user_id, course_id"""
+_REVIEWS_AFTER = f"""
+    with sent as (
+      select *, row_number() over (partition by user_id, course_id order by submitted_at, id) as first,
+        row_number() over (partition by user_id, course_id order by submitted_at desc, id desc) as last
+      from lms_review_submissions s
+      where exists (select 1 from lms_enrollments e where e.student_id=s.user_id and e.course_id=s.course_id)),
+    merged as (
+      select a.user_id, a.course_id, b.rating, b.comment, a.submitted_at as created_at, b.submitted_at as updated_at,
+        a.id as first_id
+      from sent a join sent b on b.user_id=a.user_id and b.course_id=a.course_id where a.first=1 and b.last=1)
+    select r.id, r.user_id, r.course_id, coalesce(m.rating, r.rating) as rating,
+      case when m.first_id is null then r.comment else m.comment end as comment, r.created_at,
+      coalesce(m.updated_at, r.updated_at) as updated_at
+    from lms_reviews r left join merged m on m.user_id=r.user_id and m.course_id=r.course_id
+    union all
+    select {_fresh('reviews', 'created_at, first_id')}, user_id, course_id, rating, comment, created_at, updated_at
+    from merged m
+    where not exists (select 1 from lms_reviews r where r.user_id=m.user_id and r.course_id=m.course_id)"""
 
 _WATCHED = """
-    select w.id, w.user_id, w.course_id, cast(null as bigint) as lesson_id, cast(30 as bigint) as minutes, w.watched_at
+    select {id} as id, w.user_id, w.course_id, cast(null as bigint) as lesson_id, cast(30 as bigint) as minutes, w.watched_at
     from lms_watch_requests w
     where exists (select 1 from lms_enrollments e where e.student_id=w.user_id and e.course_id=w.course_id)"""
 
@@ -487,7 +539,7 @@ _SIGN_UPS = """
 
 WRITES = {
     "review_upsert": _REVIEWS_AFTER,
-    "watch_log": _WATCHED,
+    "watch_log": _WATCHED.format(id=_fresh("learning_records", "w.watched_at, w.id")),
     "starter_lessons": """
         select e.student_id as user_id, e.course_id, s.lesson_id,
           cast(case when s.duration_minutes > 0 then s.duration_minutes else 30 end as bigint) as minutes,
@@ -498,10 +550,10 @@ WRITES = {
           from lms_lessons l join lms_chapters h on h.id=l.chapter_id) s on s.course_id=e.course_id and s.k <= 2
         where not exists (select 1 from lms_learning_records r
           where r.user_id=e.student_id and r.course_id=e.course_id and r.lesson_id=s.lesson_id)""",
-    "insert_if_absent": """
+    "insert_if_absent": f"""
         select id, user_id, course_id, created_at from lms_favorites
         union all
-        select id, user_id, course_id, watched_at from (
+        select {_fresh('favorites', 'watched_at, id')}, user_id, course_id, watched_at from (
           select *, row_number() over (partition by user_id, course_id order by watched_at, id) as pick
           from lms_watch_requests) w
         where pick=1 and not exists (
@@ -512,10 +564,11 @@ WRITES = {
         union all
         select 'drop', promotion_id, course_id from (
           select * from lms_promotion_courses except select * from lms_wanted_promotion_courses) b""",
-    "course_upsert": """
+    "course_upsert": f"""
         with last as (select * from (
             select *, row_number() over (partition by title order by id desc) as k,
-              min(id) over (partition by title) as first_id
+              min(id) over (partition by title) as first_id,
+              first_value(created_at) over (partition by title order by id) as first_at
             from lms_course_feed) z where k=1),
           target as (select title, min(id) as id from lms_courses group by 1)
         select c.id, c.title,
@@ -527,35 +580,38 @@ WRITES = {
             as is_published, c.created_at
         from lms_courses c left join target t on t.id=c.id left join last l on l.title=t.title
         union all
-        select first_id, title, teacher_id, category_id, price, description, null, level, true, created_at
+        select {_fresh('courses', 'first_id')}, title, teacher_id, category_id, price, description, null, level, true, first_at
         from last l where not exists (select 1 from lms_courses c where c.title=l.title)""",
-    "user_upsert": """
+    "user_upsert": f"""
         with feed as (select username, min(id) as id, arg_max(email, id) as email, bool_or(is_superuser) as super
           from lms_user_feed group by 1)
         select u.id, u.username, coalesce(f.email, u.email) as email, u.is_staff or coalesce(f.super, false) as is_staff,
           u.is_superuser or coalesce(f.super, false) as is_superuser
         from lms_users u left join feed f on f.username=u.username
         union all
-        select id, username, email, super, super from feed f
+        select {_fresh('users', 'id')}, username, email, super, super from feed f
         where not exists (select 1 from lms_users u where u.username=f.username)""",
     "course_drafts": f"""
-        select id, title, user_id as teacher_id, cast(null as bigint) as category_id, price, description, image,
+        select {_fresh('courses', 'submitted_at, id')} as id, title, user_id as teacher_id, cast(null as bigint) as category_id, price, description, image,
           'beginner' as level, true as is_published, submitted_at as created_at
         from ({_FORMS}) f""",
     "course_edits": f"""
         with own as (select f.* from ({_FORMS}) f join lms_courses c on c.id=f.course_id and c.teacher_id=f.user_id),
-          edit as (select course_id, arg_max(title, id) as title, arg_max(price, id) as price,
-            arg_max(description, id) as description, arg_max(image, id) filter (where image is not null) as image
-            from own group by 1)
+          turn as (select *, row_number() over (partition by course_id order by submitted_at, id) as n from own),
+          edit as (select course_id, arg_max(title, n) as title, arg_max(price, n) as price,
+            arg_max(description, n) as description, arg_max(image, n) filter (where image is not null) as image
+            from turn group by 1)
         select c.id, coalesce(e.title, c.title) as title, c.teacher_id, c.category_id, coalesce(e.price, c.price) as price,
           coalesce(e.description, c.description) as description, coalesce(e.image, c.image) as image, c.level,
           c.is_published, c.created_at
         from lms_courses c left join edit e on e.course_id=c.id""",
     "register_users": f"""
-        select id, username, email, false as is_staff, false as is_superuser from ({_SIGN_UPS}) s""",
-    "register_profiles": f"select id, id as user_id, role from ({_SIGN_UPS}) s",
+        select {_fresh('users', 'id')} as id, username, email, false as is_staff, false as is_superuser
+        from ({_SIGN_UPS}) s""",
+    "register_profiles": f"""
+        select {_fresh('profiles', 'id')} as id, {_fresh('users', 'id')} as user_id, role from ({_SIGN_UPS}) s""",
     "stream_watch_minutes": f"""
-        select user_id, course_id, cast(sum(minutes) as bigint) as watch_minutes from ({_WATCHED}) w group by 1, 2""",
+        select user_id, course_id, cast(sum(minutes) as bigint) as watch_minutes from ({_WATCHED.format(id='w.id')}) w group by 1, 2""",
     "stream_review_upsert": _REVIEWS_AFTER,
 }
 
@@ -893,6 +949,9 @@ _ORDER_SHOWN = (
 
 PAGES = {
     "browse_page": _page("orders", _ORDER_SHOWN, "", "true", 200),
+    "browse_deep_page": _page(
+        "order_items", f"{_label('orders', 'order_id')} as \"order\", {_COURSE_L}, price", "", "true", 5000
+    ),
     "browse_profiles": _page(
         "profiles", f"{_USER_L}, {_case('role', ROLE)} as role", _U, f"role='student' and {_has('customer#00000001', 'u.username')}"
     ),

@@ -69,6 +69,10 @@ def _with_feed(name: str, build: Callable[[Shop, DataFrame], DataFrame]) -> Quer
     return lambda spark, folder: build(shop_from(spark, folder), derived(spark, folder, f"lms_{name}"))
 
 
+def _written(name: str, build: Callable[[Shop, DataFrame, Store], DataFrame]) -> Query:
+    return lambda spark, folder: build(shop_from(spark, folder), derived(spark, folder, f"lms_{name}"), Store(spark))
+
+
 def _purchases(part: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         shop = shop_from(spark, folder)
@@ -86,14 +90,12 @@ def _accepted(spark: SparkSession, folder: str) -> DataFrame:
     return checkout.accept(shop, priced, Store(spark))
 
 
-def _accepted_under_cap(spark: SparkSession, folder: str) -> DataFrame:
-    """The same requests with no coupon used before, so the limit of 100 bites inside the batch."""
-    shop = shop_from(spark, folder)
-    shop = shop.replace(coupon_usages=shop["coupon_usages"].filter(F.lit(False)))
-    priced = checkout.price_checkout(
-        shop, checkout.eligible(shop, derived(spark, folder, "lms_checkout_requests"))
-    )
-    return checkout.accept(shop, priced, Store(spark))
+def _planned(part: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        plan = derived(spark, folder, "lms_purchase_plan")
+        return getattr(checkout.planned_purchases(shop_from(spark, folder), plan, Store(spark)), part)()
+
+    return run
 
 
 def _coupon_discounts(shop: Shop) -> DataFrame:
@@ -131,6 +133,10 @@ def _rating_rounding(shop: Shop) -> DataFrame:
     )
 
 
+def _lessons_as_text(chapters: DataFrame) -> DataFrame:
+    return chapters.withColumn("lessons", F.to_json("lessons"))
+
+
 def _deletion(spark: SparkSession, folder: str):
     return delete_courses(
         shop_from(spark, folder), derived(spark, folder, "lms_delete_requests"), Store(spark)
@@ -142,7 +148,7 @@ def _remaining(name: str) -> Query:
 
 
 def _sign_ups(part: int) -> Query:
-    return _with_feed("user_feed", lambda shop, feed: accounts.sign_ups(shop, feed)[part])
+    return _with_feed("user_feed", lambda shop, feed: accounts.sign_ups(shop, feed, Store(feed.sparkSession))[part])
 
 
 def _faulty(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -200,9 +206,12 @@ def _csv_exports(spark: SparkSession, folder: str) -> DataFrame:
     return union_all(frames)
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return read_feed(spark, schema, folder, "events.parquet")
+def _event_stream(spark: SparkSession, folder: str, store: Store) -> DataFrame:
+    """The events in several files, each a micro-batch of its own."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    arriving = store.fresh_path("events")
+    events.repartition(4).write.parquet(arriving)
+    return read_feed(spark, events.schema, arriving, per_batch=1)
 
 
 def _stream_watch(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +219,7 @@ def _stream_watch(spark: SparkSession, folder: str) -> DataFrame:
     n_courses = derived(spark, folder, "lms_courses").agg(F.count(F.lit(1))).scalar()
     first = shop["enrollments"].groupBy("student_id").agg(F.min("course_id").alias("_first"))
     requests = (
-        _event_stream(spark, folder)
+        _event_stream(spark, folder, store)
         .filter(F.col("event_type").isin("view", "click"))
         .select(F.col("event_id").alias("id"), (F.col("user_id") * 2).alias("user_id"), F.col("ts").alias("watched_at"))
         .join(first, F.col("user_id") == F.col("student_id"), "left")
@@ -227,13 +236,17 @@ def _stream_watch(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stream_reviews(spark: SparkSession, folder: str) -> DataFrame:
     shop, store = shop_from(spark, folder), Store(spark)
+    n_courses = derived(spark, folder, "lms_courses").agg(F.count(F.lit(1))).scalar()
+    first = shop["enrollments"].groupBy("student_id").agg(F.min("course_id").alias("_first"))
+    own = F.when(F.col("event_id") % 2 == 0, F.col("_first"))
     submissions = (
-        _event_stream(spark, folder)
+        _event_stream(spark, folder, store)
         .filter(F.col("event_type") == "purchase")
+        .join(first, F.col("user_id") * 2 == F.col("student_id"), "left")
         .select(
             F.col("event_id").alias("id"),
             (F.col("user_id") * 2).alias("user_id"),
-            (F.col("event_id") % 100).alias("course_id"),
+            F.coalesce(own, F.col("event_id") % n_courses).alias("course_id"),
             (F.col("event_id") % 5 + 1).cast("int").alias("rating"),
             F.concat(F.lit("comment "), F.col("event_id").cast("string")).alias("comment"),
             F.col("ts").alias("submitted_at"),
@@ -241,7 +254,7 @@ def _stream_reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
     out = store.fresh_path("review-batches")
     review_feed(shop, submissions, out, store.fresh_path("review-progress")).awaitTermination()
-    return reviews_after(shop, spark, out)
+    return reviews_after(shop, spark, store, out)
 
 
 def _browse(name: str) -> Query:
@@ -271,7 +284,8 @@ def all_queries() -> dict[str, Query]:
         ),
         "purchase_flags": _with_feed("watch_requests", catalog.purchase_flags),
         "course_reviews": _on_shop(catalog.course_reviews),
-        "curriculum": _stored(catalog.curriculum),
+        "curriculum": _stored(lambda shop, store: _lessons_as_text(catalog.curriculum(shop, store))),
+        "curriculum_parts": _stored(lambda shop, store: _lessons_as_text(catalog.curriculum(shop, store, lessons_per_row=1))),
         "curriculum_flat": _on_shop(catalog.curriculum_flat),
         "promotion_coverage": _on_shop(catalog.promotion_coverage),
         "users_with_role": _on_shop(catalog.users_with_role),
@@ -291,6 +305,8 @@ def all_queries() -> dict[str, Query]:
         "rating_rounding": _on_shop(_rating_rounding),
         "student_chart_json": _stored(charts.student_chart_json),
         "teacher_chart_json": _stored(charts.teacher_chart_json),
+        "student_chart_parts": _stored(lambda shop, store: charts.student_chart_json(shop, store, points_per_row=2)),
+        "teacher_chart_parts": _stored(lambda shop, store: charts.teacher_chart_json(shop, store, points_per_row=3)),
         # exports
         "export_row_counts": _on_shop(exports.export_row_counts),
         "export_csv_files": _csv_exports,
@@ -302,7 +318,8 @@ def all_queries() -> dict[str, Query]:
         "price_checkout": _with_feed("checkout_requests", checkout.price_checkout),
         "checkout_eligible": _with_feed("checkout_requests", checkout.eligible),
         "checkout_accepted": _accepted,
-        "checkout_accepted_capped": _accepted_under_cap,
+        "planned_orders": _planned("orders"),
+        "planned_enrollments": _planned("new_enrollments"),
         "checkout_orders": _purchases("orders"),
         "checkout_order_items": _purchases("order_items"),
         "checkout_payments": _purchases("payments"),
@@ -310,16 +327,17 @@ def all_queries() -> dict[str, Query]:
         "checkout_coupon_usages": _purchases("coupon_usages"),
         "checkout_notifications": _purchases("notifications"),
         # other write paths
-        "review_upsert": _with_feed("review_submissions", activity.upsert_reviews),
-        "watch_log": _with_feed("watch_requests", activity.watch_log),
+        "review_upsert": _written("review_submissions", activity.upsert_reviews),
+        "watch_log": _written("watch_requests", activity.watch_log),
         "starter_lessons": _on_shop(activity.starter_lessons),
-        "insert_if_absent": _with_feed(
+        "insert_if_absent": _written(
             "watch_requests",
-            lambda shop, visits: insert_if_absent(
+            lambda shop, visits, store: insert_if_absent(
                 shop["favorites"],
                 visits.withColumnRenamed("watched_at", "created_at"),
                 ["user_id", "course_id"],
                 ["created_at", "id"],
+                store,
             ),
         ),
         "promotion_set_diff": _with_feed(
@@ -328,9 +346,9 @@ def all_queries() -> dict[str, Query]:
                 shop["promotion_courses"], wanted, ["promotion_id", "course_id"]
             ),
         ),
-        "course_upsert": _with_feed("course_feed", accounts.upsert_courses),
-        "user_upsert": _with_feed("user_feed", accounts.upsert_users),
-        "course_drafts": _with_feed("course_forms", accounts.course_drafts),
+        "course_upsert": _written("course_feed", accounts.upsert_courses),
+        "user_upsert": _written("user_feed", accounts.upsert_users),
+        "course_drafts": _written("course_forms", accounts.course_drafts),
         "course_edits": _with_feed("course_forms", accounts.course_edits),
         "register_users": _sign_ups(0),
         "register_profiles": _sign_ups(1),
@@ -342,6 +360,7 @@ def all_queries() -> dict[str, Query]:
         "dq_foreign_keys": _foreign_keys,
         # list pages
         "browse_page": _stored(lambda shop, store: browse(shop, "orders", store, page=2)),
+        "browse_deep_page": _stored(lambda shop, store: browse(shop, "order_items", store, page=50)),
     }
     for name, build in exports.EXPORTS.items():
         found[f"export_{name}"] = _on_shop(build)
