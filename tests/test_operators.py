@@ -92,12 +92,12 @@ def test_deleting_a_user_follows_every_edge(spark, store):
 
 
 # --- merging ----------------------------------------------------------------------------
-def test_insert_if_absent_twice_is_the_same_as_once(spark):
-    old = spark.createDataFrame([(1, 10, "x")], "id int, k int, v string")
-    new = spark.createDataFrame([(5, 10, "y"), (7, 20, "late"), (6, 20, "early")], "id int, k int, v string")
-    once = insert_if_absent(old, new, ["k"], ["id"])
-    assert sorted(map(tuple, once.collect())) == [(1, 10, "x"), (6, 20, "early")]
-    assert plain(insert_if_absent(once, new, ["k"], ["id"])) == plain(once)
+def test_insert_if_absent_twice_is_the_same_as_once(spark, store):
+    old = spark.createDataFrame([(1, 10, "x")], "id bigint, k int, v string")
+    new = spark.createDataFrame([(5, 10, "y"), (7, 20, "late"), (6, 20, "early")], "id bigint, k int, v string")
+    once = insert_if_absent(old, new, ["k"], ["id"], store)
+    assert sorted(map(tuple, once.collect())) == [(1, 10, "x"), (2, 20, "early")]
+    assert plain(insert_if_absent(once, new, ["k"], ["id"], store)) == plain(once)
 
 
 def test_set_difference_plan_applied_gives_the_wanted_set(spark):
@@ -107,7 +107,7 @@ def test_set_difference_plan_applied_gives_the_wanted_set(spark):
     assert sorted(map(tuple, plan.collect())) == [("add", 1, 3), ("drop", 1, 1)]
 
 
-def test_review_upsert_keeps_creation_and_takes_the_last_content(spark):
+def test_review_upsert_keeps_creation_and_takes_the_last_content(spark, store):
     t = lambda d: datetime(2024, 1, d)
     schema = "id bigint, user_id bigint, course_id bigint, rating int, comment string, created_at timestamp_ntz, updated_at timestamp_ntz"
     shop = Shop.of(
@@ -123,13 +123,13 @@ def test_review_upsert_keeps_creation_and_takes_the_last_content(spark):
         ],
         "id bigint, user_id bigint, course_id bigint, rating int, comment string, submitted_at timestamp_ntz",
     )
-    after = activity.upsert_reviews(shop, sent)
+    after = activity.upsert_reviews(shop, sent, store)
     assert sorted(map(tuple, after.select("id", "user_id", "rating", "comment", "created_at", "updated_at").collect())) == [
         (1, 1, 5, "best", t(1), t(6)),
         (2, 2, 3, None, t(1), t(1)),
-        (12, 3, 1, None, t(7), t(7)),
+        (3, 3, 1, None, t(7), t(7)),
     ]
-    assert plain(activity.upsert_reviews(shop.replace(reviews=after), sent)) == plain(after)
+    assert plain(activity.upsert_reviews(shop.replace(reviews=after), sent, store)) == plain(after)
 
 
 # --- checking ---------------------------------------------------------------------------
@@ -168,6 +168,21 @@ def test_every_rule_finds_its_fault(spark, store):
     }
 
 
+def test_tables_without_id_and_columns_that_are_absent(spark, store):
+    from coursemill.sources.seed import seed_shop
+
+    demo = seed_shop(spark, store, datetime(2024, 1, 1))
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 99), (None, 2)], "promotion_id bigint, course_id bigint")
+    faulty = demo.replace(promotion_courses=pairs, categories=demo["categories"].drop("description"))
+    found = {(r.rule, r.table_name, r.column_name, r.id) for r in validate(faulty, ["promotion_courses", "categories"]).collect()}
+    assert found == {
+        ("unique_pairs", "promotion_courses", "promotion_id,course_id", None),
+        ("foreign_keys", "promotion_courses", "course_id", None),
+        ("required", "promotion_courses", "promotion_id", None),
+        ("columns", "categories", "description", None),
+    }
+
+
 # --- figures ----------------------------------------------------------------------------
 def test_course_figures_add_up_to_teacher_figures(shop):
     by_course = metrics.course_scorecard(shop).groupBy("teacher_id").agg(

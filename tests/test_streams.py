@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from checks.derive import derived
+from coursemill import Shop
 from coursemill.plans import activity
 from coursemill.sources import read_feed
-from coursemill.streaming import review_feed, reviews_after, watch_feed, watch_totals
+from coursemill.streaming import compact_reviews, compact_watched, review_feed, reviews_after, watch_feed, watch_totals
 from tests.conftest import SMALL
 from tests.test_operators import plain
 
@@ -21,13 +24,16 @@ def arriving(spark, store, df, files=5):
 
 def test_watch_stream_equals_batch_and_survives_a_repeat(spark, store, shop):
     requests = derived(spark, SMALL, "lms_watch_requests")
-    want = activity.watch_log(shop, requests).groupBy("user_id", "course_id").agg(F.sum("minutes").alias("watch_minutes"))
+    want = activity.watched(shop, requests).groupBy("user_id", "course_id").agg(F.sum("minutes").alias("watch_minutes"))
     out, progress = store.fresh_path("out"), store.fresh_path("progress")
     feed = arriving(spark, store, requests)
     query = watch_feed(shop, feed, out, progress)
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 5
     assert plain(watch_totals(spark, out)) == plain(want)
+    compact = store.fresh_path("compact")
+    compact_watched(spark, [out], compact)
+    assert plain(watch_totals(spark, compact)) == plain(want)
     # The same batches once more, as after a failure before the commit: nothing counts twice.
     watch_feed(shop, feed, out, store.fresh_path("progress")).awaitTermination()
     assert plain(watch_totals(spark, out)) == plain(want)
@@ -43,5 +49,22 @@ def test_review_stream_equals_batch(spark, store, shop):
     busy = shop.replace(enrollments=buyers, reviews=shop["reviews"].filter("id % 2 = 0"))
     out = store.fresh_path("out")
     review_feed(busy, arriving(spark, store, submissions), out, store.fresh_path("progress")).awaitTermination()
-    want = activity.upsert_reviews(busy, submissions)
-    assert plain(reviews_after(busy, spark, out)) == plain(want)
+    want = activity.upsert_reviews(busy, submissions, store)
+    assert plain(reviews_after(busy, spark, store, out)) == plain(want)
+    compact = store.fresh_path("compact")
+    compact_reviews(spark, [out], compact)
+    assert plain(reviews_after(busy, spark, store, compact)) == plain(want)
+
+
+def test_merging_in_steps_equals_merging_at_once_when_times_are_equal(spark):
+    t = lambda d: datetime(2024, 1, d)
+    rows = [(1, 1, 2, "a", t(1)), (9, 1, 3, "b", t(5)), (5, 1, 4, "c", t(5)), (7, 2, 1, None, t(2))]
+    schema = "id bigint, user_id bigint, rating int, comment string, submitted_at timestamp_ntz"
+    sent = spark.createDataFrame(rows, schema).withColumn("course_id", F.lit(1).cast("bigint"))
+    buyers = sent.select(F.col("user_id").alias("student_id"), "course_id").distinct()
+    submitted = activity.submitted_reviews(Shop.of(enrollments=buyers), sent)
+    at_once = plain(activity.merge_submissions(submitted))
+    first = activity.merge_submissions(submitted.filter("first_id in (1, 9)"))
+    rest = submitted.filter("first_id in (5, 7)")
+    assert plain(activity.merge_submissions(first.unionByName(rest))) == at_once
+    assert plain(activity.merge_submissions(rest.unionByName(first))) == at_once
