@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from coursemill.store import Store
 
-from .common import Words, grams, mix, pieces, text_bytes, words_of
+from .common import Words, grams, mix, pieces, ship, text_bytes, words_of
 from .components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -176,6 +176,7 @@ def near_duplicates(
     Classes of rows with null ids take the smallest id that is not null. Rows that repeat a text share a
     class; rows that repeat an id with other texts are judged by their texts. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     signed = store.keep(rows.mapInArrow(_sign, f"_id {kind}, _node binary, _bands array<bigint>"), "signatures")
@@ -192,13 +193,14 @@ def near_duplicates(
     texts = store.keep(named.join(wanted, "_node", "left_semi").dropDuplicates(["_node"]), "texts")
     links = _links(pairs, texts, threshold, store)
     roots = components(links, store)
-    number = 0
+    number, tested = 0, pairs
     while not large.isEmpty():
         number += 1
-        pairs = _next_pairs(large, roots, number).join(pairs, ["a", "b"], "left_anti")
-        fresh = _links(store.keep(pairs, "pairs"), texts, threshold, store)
+        pairs = store.keep(_next_pairs(large, roots, number).join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = _links(pairs, texts, threshold, store)
         if fresh.isEmpty():
             break
+        tested = tested.unionAll(pairs)
         merged = fresh.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = store.keep(components(merged, store), "roots")
 
@@ -243,9 +245,9 @@ def _next_pairs(large: DataFrame, roots: DataFrame, number: int) -> DataFrame:
     each = placed.groupBy("_bucket", "_root").agg(F.min(order).alias("_one"))
     each = each.withColumn("_part", F.pmod(F.xxhash64("_root", F.lit(number)), F.lit(PARTS)))
     heads = each.groupBy("_bucket", "_part").agg(F.min("_one").alias("_head"))
-    heads = heads.unionAll(
-        each.groupBy("_bucket").agg(F.min("_one").alias("_head")).select("_bucket", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("bigint").alias("_part"), "_head")
-    )
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")))
+    leaders = each.groupBy("_bucket").agg(F.min("_one").alias("_head"))
+    heads = heads.unionAll(leaders.select("_bucket", parts.alias("_part"), "_head"))
     both = each.join(heads, ["_bucket", "_part"]).select(F.col("_one.n").alias("_one"), F.col("_head.n").alias("_other"))
     return both.filter("_one <> _other").select(*_pair("_one", "_other")).distinct()
 

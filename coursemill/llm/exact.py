@@ -17,6 +17,11 @@ def hash128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def sha256(text: Column) -> Column:
+    """Never null, and said so: else a join on it tests the whole expression for null first, at its full cost."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
 def duplicate_groups(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -36,14 +41,14 @@ def duplicate_groups(
     ``docs`` are left alone, whatever they are called; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_column).alias("_id"), normalised(F.col(text_column)).alias("_text"))
-    rows = rows.withColumn("_hash", hashed(F.col("_text")))
+    rows = rows.withColumn("_hash", F.coalesce(hashed(F.col("_text")), F.lit(b"")))
     groups = (
         rows.groupBy("_hash", "_text")
         .agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("_hash", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
+        .select("_hash", sha256(F.col("_text")).alias("text_sha256"), "keep_id", "group_size")
     )
     return (
-        rows.select("_id", "_hash", F.sha2("_text", 256).alias("text_sha256"))
+        rows.select("_id", "_hash", sha256(F.col("_text")).alias("text_sha256"))
         .join(groups, ["_hash", "text_sha256"])
         .select(
             F.col("_id").alias(id_column),
@@ -58,16 +63,17 @@ def duplicate_groups(
 def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; a row that repeats an id with its text stays once.
 
-    The rows that stay are picked by id and digest, so that only these two and the row itself are moved.
+    The rows that stay are picked by id and digest. Rows are moved once, dealt out by these two, so that the
+    copies of a text with very many of them go to different tasks and repeated rows meet.
     """
-    stay = (
-        duplicate_groups(docs, id_column, text_column)
-        .filter("kept")
-        .select(F.col(id_column).alias("_stay"), F.col("text_sha256").alias("_digest"))
-        .distinct()
-    )
-    marked = docs.withColumn("_digest_of_row", F.sha2(normalised(F.col(text_column)), 256))
-    left = marked.join(
-        stay, marked[id_column].eqNullSafe(stay["_stay"]) & (marked["_digest_of_row"] == stay["_digest"]), "left_semi"
-    )
-    return left.dropDuplicates([id_column, "_digest_of_row"]).drop("_digest_of_row")
+    key = ["_id_text", "_no_id", "_digest"]
+
+    def keyed(frame: DataFrame, digest: Column) -> list[Column]:
+        ids = frame[id_column]
+        text = F.coalesce(ids.cast("string"), F.lit(""))
+        return [c.alias(k) for k, c in zip(key, (text, ids.isNull(), digest))]
+
+    stay = duplicate_groups(docs, id_column, text_column).filter("kept")
+    stay = stay.select(*keyed(stay, F.col("text_sha256"))).distinct()
+    marked = docs.select("*", *keyed(docs, sha256(normalised(F.col(text_column)))))
+    return marked.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, held_out, pieces, ship, text_bytes, words_of
@@ -22,7 +22,7 @@ from .gru import WORD_DIM, Adam, Params, forward, gradient, logits, new_params,
 #: Words of a window, words from one window to the next.
 WINDOW, STRIDE = 32, 24
 #: Bound of what is learned from: rows of each label, characters of each row, different words.
-SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 1_500, 20_000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 1_000, 10_000, 20_000
 STEPS, RENEWED, BATCH, RATE, SEED = 240, 60, 96, 0.01, 7
 #: ``STEPS`` batches are learned; the windows are chosen anew after each ``RENEWED``.
 #: Share of words whose own embedding is left out while learning, so that spelling counts.
@@ -81,13 +81,18 @@ def score_windows(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray, n
     return text, start, sigmoid(np.concatenate(scores))
 
 
+def _pairs(of_word: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The different (word, text) of some texts."""
+    n = len(words.first) - 1
+    return np.divmod(np.unique(of_word * n + words.text), n)
+
+
 def _suspicion(words: Words, labels: np.ndarray) -> np.ndarray:
     """Log odds of each word to occur in a text with label 1 rather than 0."""
     _, of_word = np.unique(words.hashes, return_inverse=True)
-    pairs = np.unique(np.stack([of_word, words.text]), axis=1)
-    n = int(of_word.max()) + 1
-    with_label = np.bincount(pairs[0], weights=labels[pairs[1]], minlength=n)
-    without = np.bincount(pairs[0], minlength=n) - with_label
+    word, text = _pairs(of_word, words)
+    with_label = np.bincount(word, weights=labels[text])
+    without = np.bincount(word) - with_label
     one, zero = labels.sum(), len(labels) - labels.sum()
     return (np.log((with_label + 0.5) / (one + 1)) - np.log((without + 0.5) / (zero + 1)))[of_word]
 
@@ -111,7 +116,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         return Model(params, np.zeros(0, np.uint64))
 
     hashes, inverse = np.unique(words.hashes, return_inverse=True)
-    texts_with = np.bincount(np.unique(np.stack([inverse, words.text]), axis=1)[0])
+    texts_with = np.bincount(_pairs(inverse, words)[0])
     often = np.flatnonzero(texts_with > 1)
     often = often[np.argsort(-texts_with[often], kind="stable")][:VOCABULARY]
     model = Model(new_params(len(often), SEED), np.sort(hashes[often]))
@@ -163,21 +168,21 @@ def learn(
 ) -> Model:
     """Train on a bounded sample of the labelled rows that may be learned from.
 
-    The sample is the ``SAMPLE_ROWS`` rows of each label with the smallest hashes of id and text, whole texts up
-    to ``SAMPLE_CHARS`` characters. Rows without label or text are not learned from; a document with several
-    labels has the largest.
+    The sample is picked among the labels: the ``SAMPLE_ROWS`` ids of each label with the smallest hashes. Only these
+    ids are looked for in ``docs``, and ``SAMPLE_CHARS`` characters of each text come to the driver. Rows without
+    label or text are not learned from; a document with several labels has the largest; of more rows than were
+    picked, as ids may repeat, those with the smallest hashes count.
     """
-    marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_column).alias("_marked"))
+    marks = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull())
+    marks = marks.filter(~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("_marked"))
     marks = marks.agg((F.max(label) > 0).cast("int").alias("_label"))
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    rows = rows.filter(~held_out(F.col("_id")) & F.col("_text").isNotNull())
-    rows = rows.join(marks, F.col("_id") == F.col("_marked")).select(
-        "_label",
-        F.substring("_text", 1, SAMPLE_CHARS).alias("_text"),
-        F.xxhash64(F.lit("toxicity"), "_id", "_text").alias("_order"),
-    )
-    first = Window.partitionBy("_label").orderBy("_order", "_text")
-    sample = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_ROWS)
+    order = F.xxhash64(F.lit("toxicity"), F.col("_marked"))
+    picked = [marks.filter(F.col("_label") == one).orderBy(order, "_marked").limit(SAMPLE_ROWS) for one in (0, 1)]
+    rows = docs.select(F.col(id_column).alias("_marked"), F.col(text_column).alias("_text")).filter("_text is not null")
+    # At most 2 * SAMPLE_ROWS ids.
+    rows = rows.join(F.broadcast(picked[0].unionAll(picked[1])), "_marked")
+    rows = rows.select("_label", F.xxhash64("_marked", "_text").alias("_n"), F.substring("_text", 1, SAMPLE_CHARS).alias("_text"))
+    sample = rows.orderBy("_n", "_text").limit(2 * SAMPLE_ROWS)
     found = sorted(sample.select("_label", "_n", "_text").collect())
     return train([r["_text"] for r in found], np.array([r["_label"] for r in found], np.float32))
 
