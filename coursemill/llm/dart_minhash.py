@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.store import Store
@@ -30,8 +30,10 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 3)
-#: Buckets with so many different texts at most are compared in full; larger ones through leaders.
+#: Buckets with so many different texts at most are compared in full; larger ones through leaders and shared shingles.
 SMALL_BUCKET = 8
+#: Units of weight that so many texts share at most are joined first; each further step takes more by this factor.
+FEW_HOLDERS, MORE_HOLDERS = 8, 8
 #: Parts of a larger bucket that each have a leader of their own, besides the bucket's.
 PARTS = 16
 
@@ -170,7 +172,8 @@ def near_duplicates(
     up to ``SMALL_BUCKET`` nodes all pairs are verified. A larger bucket, which a third of all documents may
     share, is never paired in full: its nodes are compared with the bucket's leader and the leader of one of
     ``PARTS`` parts, and then, as long as that finds links, with a node of another component of the bucket,
-    chosen anew in each round.
+    chosen anew in each round. That joins most of what belongs together; links between the components that are
+    left in a large bucket are all found by the units of weight that their texts share (``_remainder``).
 
     Null and empty texts, and others without a word, are alone: their class is their own id, their size 1.
     Classes of rows with null ids take the smallest id that is not null. Rows that repeat a text share a
@@ -201,8 +204,9 @@ def near_duplicates(
         if fresh.isEmpty():
             break
         tested = tested.unionAll(pairs)
-        merged = fresh.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = store.keep(components(merged, store), "roots")
+        roots = _merged(fresh, roots, store)
+    if number:
+        roots = _remainder(large, texts, roots, threshold, store)
 
     placed = signed.select("_id", "_node").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
     placed = placed.withColumn("_root", F.coalesce("root", "_node"))
@@ -239,8 +243,7 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 def _next_pairs(large: DataFrame, roots: DataFrame, number: int) -> DataFrame:
     """In large buckets with several components, one node of each and a node of another to compare it with."""
-    placed = large.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
-    placed = placed.withColumn("_root", F.coalesce("root", "_node"))
+    placed = _placed(large, roots)
     order = F.struct(F.xxhash64("_node", F.lit(number)).alias("o"), F.col("_node").alias("n"))
     each = placed.groupBy("_bucket", "_root").agg(F.min(order).alias("_one"))
     each = each.withColumn("_part", F.pmod(F.xxhash64("_root", F.lit(number)), F.lit(PARTS)))
@@ -252,6 +255,72 @@ def _next_pairs(large: DataFrame, roots: DataFrame, number: int) -> DataFrame:
     return both.filter("_one <> _other").select(*_pair("_one", "_other")).distinct()
 
 
+def _placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    placed = nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    return placed.withColumn("_root", F.coalesce("root", "_node")).drop("root")
+
+
+def _merged(fresh: DataFrame, roots: DataFrame, store: Store) -> DataFrame:
+    merged = fresh.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return store.keep(components(merged, store), "roots")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in (p for b in batches for p in pieces(b)):
+        owner, region = _regions_of(piece.column(1))
+        size = np.bincount(owner, minlength=piece.num_rows)[owner]
+        columns = [piece.column(0).take(pa.array(owner)), pa.array(size, pa.int64()), pa.array(region.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["_node", "_size", "_unit"])
+
+
+def _remainder(large: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, store: Store) -> DataFrame:
+    """``roots`` with all links between nodes of large buckets that have several components.
+
+    Two texts of ``threshold`` have a unit of weight in common, and the one with fewest holders is among the first
+    n - threshold * n + 1 of both, ordered by holders. These first units are joined, those with fewest holders to
+    begin with. A pair without a unit of at most ``few`` holders has all it shares among the others; then they are at
+    least ``threshold`` of either text, and 2 * threshold / (1 + threshold) of the smaller one. As long as there
+    is such a text, the texts with so many go on to units with more holders, until no unit is left. A unit's most
+    frequent component is not joined with itself, nor is any other.
+    """
+    buckets = _placed(large, roots).groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
+    wanted = large.join(buckets.filter("_low <> _high"), "_bucket", "left_semi").select("_node").distinct()
+    units = texts.join(wanted, "_node", "left_semi").select("_node", "_text")
+    units = store.keep(units.mapInArrow(_units, "_node binary, _size bigint, _unit bigint"), "units")
+    holders = units.groupBy("_unit").agg(F.count(F.lit(1)).alias("_held")).filter("_held > 1")
+    of_node = Window.partitionBy("_node")
+    place = F.row_number().over(of_node.orderBy("_held", "_unit")) - F.count(F.lit(1)).over(of_node)
+    first = units.join(holders, "_unit").withColumn("_at", F.col("_size") + place)
+    first = store.keep(first.filter(F.col("_size") - F.col("_at") + 1 >= threshold * F.col("_size") - 1e-6), "first-units")
+
+    least, few = 1, FEW_HOLDERS
+    while True:
+        now = first.filter((F.col("_held") > least) & (F.col("_held") <= few))
+        pairs = store.keep(_unit_pairs(store.keep(_placed(now, roots), "units-now"), threshold), "pairs")
+        fresh = _links(pairs, texts, threshold, store)
+        if not fresh.isEmpty():
+            roots = _merged(fresh, roots, store)
+        rest = first.filter(F.col("_held") > few).groupBy("_node", "_size").agg(F.min("_at").alias("_at"))
+        rest = store.keep(rest.withColumn("_others", F.col("_size") - F.col("_at") + 1), "nodes-left")
+        if rest.filter(F.col("_others") >= 2 * threshold / (1 + threshold) * F.col("_size") - 1e-6).isEmpty():
+            return roots
+        first = first.join(rest.select("_node"), "_node", "left_semi")
+        least, few = few, few * MORE_HOLDERS
+
+
+def _unit_pairs(units: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes of different components with a common unit, if they can be of ``threshold`` by size and place."""
+    counts = units.groupBy("_unit", "_root").agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.groupBy("_unit").agg(F.max_by("_root", "_n").alias("_most"), F.count(F.lit(1)).alias("_kinds"))
+    units = units.join(most.filter("_kinds > 1"), "_unit").select("_unit", "_node", "_root", "_most", "_size", "_at")
+    one = units.filter("_root <> _most").select("_unit", *(F.col(c).alias(c + "1") for c in ("_node", "_root", "_size", "_at")))
+    # No unit before the one in common is shared, if that is the one with fewest holders.
+    reach = 1 + F.least(F.expr("_size - _at"), F.expr("_size1 - _at1"))
+    both = one.join(units, "_unit").filter("_root <> _root1")
+    both = both.filter(reach >= threshold / (1 + threshold) * F.expr("_size + _size1") - 1e-6)
+    return both.select(*_pair("_node", "_node1")).distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float, store: Store) -> DataFrame:
     left = texts.select(F.col("_node").alias("a"), F.col("_text").alias("_left"))
     right = texts.select(F.col("_node").alias("b"), F.col("_text").alias("_right"))

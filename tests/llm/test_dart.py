@@ -85,6 +85,38 @@ def test_documents(spark, store):
     assert found(dart.near_duplicates(docs, store)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def form_rows(pairs, others):
+    """One form filled in differently, pairwise below 0.8, but for pairs that share a part of what is filled in."""
+    choose = random.Random(11)
+    form = [f"f{k}" for k in range(300)]
+    fill = lambda n: [f"x{choose.randrange(1 << 40)}" for _ in range(n)]
+    rows = []
+    for _ in range(pairs):
+        common = fill(6)
+        rows += [(len(rows) + k, " ".join(form + common + fill(34))) for k in range(2)]
+    rows += [(len(rows) + k, " ".join(form + fill(40))) for k in range(others)]
+    choose.shuffle(rows)
+    return rows
+
+
+def test_single_links_in_large_buckets(spark, store):
+    rows = form_rows(80, 140)
+    expected = brute(rows)
+    assert [size for _, _, size in expected].count(2) == 160 and max(size for _, _, size in expected) == 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert found(dart.near_duplicates(docs, store)) == expected
+
+
+def test_links_of_texts_made_of_common_parts(spark, store):
+    choose = random.Random(12)
+    parts = [" ".join(f"p{p}w{k}" for k in range(choose.randint(10, 40))) for p in range(18)]
+    rows = [(k, " ".join(p for p in parts if choose.random() < 0.72)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = brute(rows)
+    assert len({c for _, c, _ in expected}) > 5
+    assert found(dart.near_duplicates(docs, store)) == expected
+
+
 def test_empty_table(spark, store):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert dart.near_duplicates(docs, store).count() == 0
