@@ -57,9 +57,41 @@ from d
 """
 
 
+COLLOCATIONS = r"""
+with lowered as (
+  select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+), pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from lowered),
+words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::hugeint as n from words group by 1),
+runs as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase
+  from words, (select unnest(range(1, 6)) as k) where len(w) >= k
+), f as (select lang, k, phrase, count(*) as a from runs group by all having count(*) >= 100),
+cuts as (
+  select lang, phrase, a, c, array_to_string(string_split(phrase, ' ')[1 : c], ' ') as head,
+    array_to_string(string_split(phrase, ' ')[c + 1 :], ' ') as tail
+  from f, (select unnest(range(1, 5)) as c) where c < k
+), scored as (
+  select cuts.lang, cuts.phrase, cuts.a, c, x.a as l, y.a as r, n,
+    (1000 * cuts.a::hugeint * n) // (x.a::hugeint * y.a::hugeint) as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = head join f y on y.lang = cuts.lang and y.phrase = tail
+    join totals on totals.lang = cuts.lang
+), lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+kept as (
+  select * from lowest where not exists (
+    select 1 from f where f.lang = lowest.lang and f.k > 2 and f.phrase <> lowest.phrase
+      and contains(' ' || f.phrase || ' ', ' ' || lowest.phrase || ' ') and 100 * f.a >= 100 * lowest.a)
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op1_exact_dedup": EXACT_DEDUP,
         "op2_decontamination": DECONTAMINATION,
         "op9_warc": WARC,
+        "op13_collocations": COLLOCATIONS,
     }

@@ -15,6 +15,7 @@ from .common import read_table
 from .dart_minhash import near_duplicates
 from .exact import duplicate_groups
 from .langid import identify, learn_dictionaries
+from .phrases import collocations
 from .piece_codec import round_trip
 from .repeats import without_repeats
 from .token_counts import token_counts
@@ -109,6 +110,10 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(read_table(spark, folder, "documents"), Store(spark))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": exact_dedup,
@@ -121,4 +126,5 @@ def llm_queries() -> dict[str, Query]:
         "op8_minhash_near_dedup": minhash_near_dedup,
         "op9_warc": warc,
         "op10_token_binary": token_binary,
+        "op13_collocations": phrase_collocations,
     }
