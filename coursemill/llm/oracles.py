@@ -57,6 +57,61 @@ from d
 """
 
 
+#: crc32 bit by bit: every byte of the text is mixed in, then eight steps of the polynomial.
+CRC32 = """xor(list_reduce(
+    [4294967295::bigint] || flatten(list_transform(string_split({}, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda state, step: case when step >= 0 then xor(state, step)
+      when state & 1 = 1 then xor(state >> 1, 3988292384) else state >> 1 end), 4294967295)"""
+
+MERKLE = rf"""
+with recursive d as (
+  select doc_id, lang, text, n_chars, {CRC32.format("cast(doc_id as varchar)")} % 7 = 0 as tampered,
+    case when doc_id is null then '-' else strlen(cast(doc_id as varchar)) || ':' || doc_id end
+      || case when source is null then '-' else strlen(source) || ':' || source end
+      || case when lang is null then '-' else strlen(lang) || ':' || lang end as head,
+    case when text is null then '-' else strlen(text) || ':' || text end as tail
+  from documents
+), leaves as (
+  select doc_id, lang, sha256(head || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') || tail) as leaf,
+    case when tampered then
+      sha256(head || coalesce(strlen(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1), '-') || tail) end as changed
+  from d
+), numbered as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from leaves
+), levels as (
+  select lang, 0 as level, list(leaf order by i) as nodes from numbered group by lang
+  union all
+  select lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+    lambda j: sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')))
+  from levels where len(nodes) > 1
+), subroots as (
+  select lang, nodes[1] as subroot, row_number() over (order by lang nulls first) - 1 as t from levels where len(nodes) = 1
+), above as (
+  select 0 as level, list(subroot order by t) as nodes from subroots
+  union all
+  select level + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+    lambda j: sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')))
+  from above where len(nodes) > 1
+), walk as (
+  select doc_id, n.lang, t, subroot, leaf, 0 as step, false as up, i as pos, coalesce(changed, leaf) as node, '' as siblings
+  from numbered n join subroots s on n.lang is not distinct from s.lang
+  union all
+  select doc_id, lang, t, subroot, leaf, case when len(nodes) = 1 then 0 else step + 1 end, len(nodes) = 1 or up,
+    case when len(nodes) = 1 then t else pos // 2 end,
+    case when len(nodes) = 1 then node
+      when pos % 2 = 1 then sha256(nodes[pos] || node) else sha256(node || coalesce(nodes[pos + 2], '')) end,
+    case when len(nodes) = 1 then siblings
+      when pos % 2 = 1 then siblings || nodes[pos] else siblings || coalesce(nodes[pos + 2], '') end
+  from (
+    select walk.*, case when up then above.nodes else levels.nodes end as nodes
+    from walk left join levels on not up and levels.lang is not distinct from walk.lang and levels.level = step
+      left join above on up and above.level = step
+  ) where not (up and len(nodes) = 1)
+), ends as (select * from walk where up qualify row_number() over (partition by doc_id, lang, leaf order by step desc) = 1)
+select doc_id, leaf, subroot, nodes[1] as root, sha256(siblings) as proof_sha256, node as folded_root, node = nodes[1] as verified
+from ends, above where len(nodes) = 1
+"""
+
 COLLOCATIONS = r"""
 with lowered as (
   select coalesce(lang, 'und') as lang,
@@ -93,5 +148,6 @@ def llm_oracles() -> dict[str, str]:
         "op1_exact_dedup": EXACT_DEDUP,
         "op2_decontamination": DECONTAMINATION,
         "op9_warc": WARC,
+        "op12_merkle_manifest": MERKLE,
         "op13_collocations": COLLOCATIONS,
     }

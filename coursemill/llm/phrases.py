@@ -33,6 +33,9 @@ ROUNDS = ((1, 2), (3, 4, 5))
 #: Bytes of text whose fingerprints meet in one task.
 SHARE = 16 << 20
 UNKNOWN_LANG = "und"
+#: floor(1000 * a * n / (l * r)) in decimals of 38 digits.
+_WIDE = "cast({} as decimal(16, 0))".format
+SCORE = f"cast(cast(1000 as decimal(4, 0)) * {_WIDE('a')} * {_WIDE('n')} div ({_WIDE('l')} * {_WIDE('r')}) as bigint)"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -335,9 +338,7 @@ def collocations(
     parts = phrases.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     cut = cut.join(parts.select("lang", F.col("part").alias("left"), F.col("f").alias("l")), ["lang", "left"])
     cut = cut.join(parts.select("lang", F.col("part").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-    wide = "cast({} as decimal(16, 0))".format
-    score = F.expr(f"cast(cast(1000 as decimal(4, 0)) * {wide('a')} * {wide('n')} div ({wide('l')} * {wide('r')}) as bigint)")
-    scored = cut.join(totals, "lang").withColumn("score", score)
+    scored = cut.join(totals, "lang").withColumn("score", F.expr(SCORE))
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     # The phrases of one word less inside a phrase are its beginning and its end.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursemill.store import Store
@@ -15,6 +15,8 @@ from .common import read_table
 from .dart_minhash import near_duplicates
 from .exact import duplicate_groups
 from .langid import identify, learn_dictionaries
+from .lm import lm_scores
+from .merkle import folded, leaf, manifest, proofs
 from .phrases import collocations
 from .piece_codec import round_trip
 from .repeats import without_repeats
@@ -110,6 +112,34 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(read_table(spark, folder, "documents"), piece_model(), Store(spark))
+
+
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+
+    def digest(n_chars: Column) -> Column:
+        return leaf(docs["doc_id"], docs["source"], docs["lang"], n_chars, docs["text"])
+
+    tampered = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0
+    rows = docs.select(
+        docs["lang"].alias("tree"),
+        docs["doc_id"].alias("id"),
+        digest(docs["n_chars"]).alias("digest"),
+        F.when(tampered, digest(docs["n_chars"] + 1)).alias("changed"),
+    )
+    proved = proofs(manifest(rows, Store(spark)))
+    checked = folded(proved.withColumn("found", F.coalesce("changed", "digest")), "found")
+    texts = {"leaf": "digest", "subroot": "subroot", "root": "root", "folded_root": "folded"}
+    return checked.select(
+        F.col("id").alias("doc_id"),
+        *(F.lower(F.hex(c)).alias(name) for name, c in texts.items()),
+        "proof_sha256",
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(read_table(spark, folder, "documents"), Store(spark))
 
@@ -126,5 +156,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_minhash_near_dedup": minhash_near_dedup,
         "op9_warc": warc,
         "op10_token_binary": token_binary,
+        "op11_lm_scoring": lm_scoring,
+        "op12_merkle_manifest": merkle_manifest,
         "op13_collocations": phrase_collocations,
     }
