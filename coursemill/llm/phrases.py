@@ -4,8 +4,8 @@ Prefix polynomials over a chunk's words give the fingerprint of every phrase in
 different fingerprints, with their counts, are dealt out by value; where they meet they are added up, and every
 chunk gets back one bit for each: whether it is frequent in all. The place in the chunk's list is the pointer to the
 occurrences. First this is done for phrases of one and two words, then for the longer ones, of which only those are
-counted whose parts were all frequent. At the end chunks write out the words of their frequent phrases, and counts
-are added up by words: phrases that share a fingerprint part there, so counts are exact.
+counted whose parts were all frequent. At the end chunks write out the words of their frequent phrases, again dealt
+by fingerprint, and counts are added up by words: phrases that share a fingerprint part there, so counts are exact.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from coursemill.operators.numbering import first_n
 from coursemill.store import Store
 
-from .chunks import dictionary, unpack_rows, write_chunks
+from .chunks import dictionary, pack_rows, unpack_rows, write_chunks
 from .common import mix, powers, ship, text_bytes
 
 LONGEST, LEAST, BEST, COVERED = 5, 100, 2000, 100
@@ -222,8 +225,8 @@ def _meet(least: int):
     return run
 
 
-def _written(found: Phrases, n: int, first: np.ndarray, which: np.ndarray) -> Iterator[tuple[str, bytes, int]]:
-    """(language, phrase, count) of runs of ``n`` words; ``which`` numbers their fingerprints."""
+def _written(found: Phrases, n: int, first: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, str, bytes, int]]:
+    """(number of the fingerprint, language, phrase, count) of runs of ``n`` words; ``which`` numbers their fingerprints."""
     # Most runs of a fingerprint are the words of its first run; the few others are told apart by their bytes.
     least = np.full(int(which.max()) + 1 if len(which) else 0, len(found.piece), np.int64)
     np.minimum.at(least, which, first)
@@ -237,27 +240,52 @@ def _written(found: Phrases, n: int, first: np.ndarray, which: np.ndarray) -> It
     def phrase(at: int) -> tuple[str, bytes]:
         return found.langs[found.lang[at]], text[found.begins[at] : found.begins[at + n] - 1]
 
-    for at, count in zip(least[counts > 0].tolist(), counts[counts > 0].tolist()):
-        yield *phrase(at), count
-    for (lang, words), count in Counter(map(phrase, first[~same].tolist())).items():
-        yield lang, words, count
+    some = np.flatnonzero(counts)
+    for number, at, count in zip(some.tolist(), least[some].tolist(), counts[some].tolist()):
+        yield number, *phrase(at), count
+    others = Counter((number, *phrase(at)) for number, at in zip(which[~same].tolist(), first[~same].tolist()))
+    for key, count in others.items():
+        yield *key, count
+
+
+_PHRASE = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.binary()), ("a", pa.int64())])
 
 
 def _write(buckets: int, done: tuple):
+    """The words of a chunk's frequent phrases with their counts, packed, to the bucket of their fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
             found, rounds = _replayed(row, buckets, done)
             words = np.bincount(found.lang, minlength=len(found.langs)).tolist()
-            rows = [(lang, 0, b"", count) for lang, count in zip(found.langs, words)]
+            rows = [(0, lang, 0, b"", count) for lang, count in zip(found.langs, words)]
             for number, (orders, frequent) in enumerate(rounds):
+                bounds = _bounds(frequent, buckets)
+                bucket = np.repeat(np.arange(buckets), np.diff(bounds)).tolist()
                 for n, first, value in _candidates(found, rounds[:number], orders):
                     kept = _within(value, frequent)
                     which = np.searchsorted(frequent, value[kept])
-                    rows += [(lang, n, text, count) for lang, text, count in _written(found, n, first[kept], which)]
-            kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            columns[2] = columns[2].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "phrase", "a"])
+                    rows += [(bucket[i], lang, n, text, count) for i, lang, text, count in _written(found, n, first[kept], which)]
+            rows.sort(key=itemgetter(0))
+            parts = []
+            for _, own in groupby(rows, itemgetter(0)):
+                columns = list(zip(*own))[1:]
+                parts.append(pack_rows(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PHRASE)], schema=_PHRASE)))
+            some = sorted({r[0] for r in rows})
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "packed"])
+
+    return run
+
+
+def _add_up(least: int):
+    """Counts of a bucket's phrases over all chunks, by their words; those that are too rare go."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = pa.Table.from_batches([unpack_rows(x) for x in table.column("packed").to_pylist()])
+        total = rows.group_by(["lang", "n_words", "phrase"]).aggregate([("a", "sum")])
+        total = total.filter((pc.field("n_words") == 0) | (pc.field("a_sum") >= least))
+        columns = [total.column("lang"), total.column("n_words"), total.column("phrase").cast(pa.string()), total.column("a_sum")]
+        return pa.table(columns, names=["lang", "n_words", "phrase", "a"])
 
     return run
 
@@ -290,9 +318,8 @@ def frequent_phrases(
         often = dealt.groupBy("bucket").applyInArrow(_meet(least), "bucket int, chunk bigint, bits binary")
         often = often.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"bits{number}"))
         known = known.join(store.keep(often, "frequent"), "chunk", "left")
-    written = known.mapInArrow(_write(buckets, rounds), "lang string, n_words int, phrase string, a bigint")
-    counted = written.groupBy("lang", "n_words", "phrase").agg(F.sum("a").alias("a"))
-    return counted.filter((F.col("n_words") == 0) | (F.col("a") >= least))
+    written = known.mapInArrow(_write(buckets, rounds), "bucket int, packed binary")
+    return written.groupBy("bucket").applyInArrow(_add_up(least), "lang string, n_words int, phrase string, a bigint")
 
 
 def _joined(words: Column, first: Column, count: Column) -> Column:

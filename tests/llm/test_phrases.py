@@ -82,7 +82,7 @@ def test_colliding_fingerprints_are_told_apart_by_their_words(spark, store, monk
             first, value = one.fingerprints(n)
             different, which = np.unique(value, return_inverse=True)
             assert len(different) <= 64
-            found += [(lang, tuple(text.decode().split(" ")), c) for lang, text, c in phrases._written(one, n, first, which)]
+            found += [(lang, tuple(text.decode().split(" ")), c) for _, lang, text, c in phrases._written(one, n, first, which)]
     total = defaultdict(Counter)
     for lang, words, count in found:
         total[lang][words] += count
