@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code_label, contains_text, day_ranges, time_literal
@@ -17,7 +17,7 @@ from ..schema import table
 from ..shop import Shop
 from ..store import Store
 from .labels import label_frame
-from .paths import Path, columns_over, restrict
+from .paths import Path, columns_over
 
 PAGE_ROWS = 100
 
@@ -208,26 +208,78 @@ def apply_filters(
     return rows
 
 
-def _page(rows: DataFrame, page: int, store: Store) -> DataFrame:
-    """Rows of one page, newest id first. Every page is found in the same way.
+#: Ranges of ids that one histogram counts; rows around a page that are sorted rather than counted again.
+BINS, FEW = 1000, 10_000
 
-    Ids are cut into ranges and written, the ranges counted, and only those that the page touches are sorted:
-    a page far back costs what the first one costs.
+
+class IdCounts:
+    """Counts of rows by range of ids: mergeable histograms, refined where a range holds too many rows.
+
+    A histogram is one aggregation with map-side combine and has at most ``BINS`` rows. Each further one looks at
+    a single range of the one before, which reaches the scan as a filter on the id.
+    """
+
+    def __init__(self, rows: DataFrame, low: int, high: int):
+        self.rows, self.low, self.high = rows, low, high
+        self.known: dict[tuple[int, int], dict[int, int]] = {}
+
+    @staticmethod
+    def width(low: int, high: int) -> int:
+        return -(-(high - low + 1) // BINS)
+
+    def histogram(self, low: int, high: int) -> dict[int, int]:
+        """Rows by number of the range, from the highest ids down."""
+        if (low, high) not in self.known:
+            # In decimals, as ids may be as far apart as 64 bits allow.
+            number = F.expr(f"(cast({high} as decimal(20, 0)) - id) div cast({self.width(low, high)} as decimal(20, 0))")
+            counted = self.rows.filter(F.col("id").between(low, high)).groupBy(number.alias("_bin"))
+            found = counted.agg(F.count(F.lit(1)).alias("_n")).collect()
+            self.known[low, high] = {r["_bin"]: r["_n"] for r in sorted(found)}
+        return self.known[low, high]
+
+    def total(self) -> int:
+        return sum(self.histogram(self.low, self.high).values())
+
+    def around(self, place: int) -> tuple[int, int, int] | None:
+        """(lowest id, highest id, rows above it) of a range with the row at ``place``, counted from the highest id.
+
+        The range has at most ``FEW`` rows, or a single id.
+        """
+        low, high, above = self.low, self.high, 0
+        while True:
+            width = self.width(low, high)
+            for number, n in self.histogram(low, high).items():
+                if above + n > place:
+                    high -= number * width
+                    low = max(low, high - width + 1)
+                    break
+                above += n
+            else:
+                return None
+            if n <= FEW or width == 1:
+                return low, high, above
+
+
+def _page(shop: Shop, name: str, rows: DataFrame, page: int) -> DataFrame:
+    """Rows of one page, newest id first, those without an id last. Every page is found in the same way.
+
+    The ids between which the page lies are read off counts; then one scan of these ids alone brings the page. No row
+    is shuffled before that, and nothing is written, so a page far back costs what the first one costs.
     """
     skipped = page * PAGE_ROWS
-    ids = rows.select("id").repartitionByRange(F.desc("id")).withColumn("_part", F.spark_partition_id())
-    ids = store.keep(ids, "page-ids")
-    # One row per range.
-    until = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    parts = ids.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_until", F.sum("_n").over(until))
-    begin = F.col("_until") - F.col("_n")
-    touched = parts.filter((begin < skipped + PAGE_ROWS) & (F.col("_until") > skipped)).select("_part", begin.alias("_begin"))
-    touched = touched.orderBy("_part").collect()  # neighbours that hold one page
-    if not touched:
-        return rows.limit(0)
-    near = ids.filter(F.col("_part").isin([r["_part"] for r in touched])).orderBy(F.desc("id"))
-    wanted = near.offset(skipped - touched[0]["_begin"]).limit(PAGE_ROWS)
-    return restrict(rows, wanted.select(F.col("id").alias("_wanted")))
+    without = rows.filter(F.col("id").isNull())
+    low, high = shop[name].agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return without.offset(skipped).limit(PAGE_ROWS)
+    counts = IdCounts(rows.select("id"), low, high)
+    first = counts.around(skipped)
+    if first is None:
+        return without.offset(skipped - counts.total()).limit(PAGE_ROWS)
+    last = counts.around(skipped + PAGE_ROWS - 1)
+    near = rows.filter(F.col("id").between(last[0] if last else low, first[1]))
+    if last is None:
+        near = near.unionAll(without)
+    return near.orderBy(F.desc_nulls_last("id")).offset(skipped - first[2]).limit(PAGE_ROWS)
 
 
 def browse(
@@ -252,7 +304,7 @@ def browse(
     )
     rows = apply_filters(shop, name, rows, filters or {}, now)
     rows = search(shop, name, rows, search_term)
-    shown = store.keep(_page(rows.select("id", *listing.shown), page, store), f"page-{name}")
+    shown = store.keep(_page(shop, name, rows.select("id", *listing.shown), page), f"page-{name}")
 
     result = shown
     columns: list[Column] = [F.col("id")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..store import Store
@@ -20,35 +20,38 @@ def number_rows(
     """Add the 1-based position of each row within its ``keys`` group, in ``order``.
 
     ``row_number() over (partition by keys)`` would send a hot group to a single task.
-    Here a range sort on (keys, order) cuts even one group into many partitions, and the
-    counts per (key, partition), a small table, turn places inside a partition into
-    places inside the group. ``order`` has to be total, or the result is arbitrary among ties.
-    The sorted rows are written once because partition bounds come from sampling: both
-    readers below must see the same ones. With no ``keys`` the whole table is numbered.
+    Here rows are dealt out by ranges of (keys, order), which cuts even one group into many partitions, and
+    written once in buckets of the partition, because the bounds come from sampling. Reading the buckets, rows
+    are numbered inside each partition without being moved again. Only the first key of a partition continues
+    an earlier one, so one number per partition is carried over: as many as there are partitions.
+    ``order`` has to be total, or the result is arbitrary among ties. With no ``keys`` the whole table is numbered.
     """
-    sort_keys = [F.col(k) for k in keys]
-    placed = df.orderBy(*sort_keys, *order).withColumn("_place", F.monotonically_increasing_id())
-    # The upper 31 bits of the generated id are the partition, so shift out the lower 33.
-    placed = store.keep(placed, f"numbered-{name}").withColumn("_part", F.shiftright("_place", 33))
+    dealt = df.repartitionByRange(*[F.asc_nulls_first(k) for k in keys], *order)
+    placed = store.keep_bucketed(dealt.withColumn("_part", F.spark_partition_id()), f"numbered-{name}", "_part")
+    inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)).cast("bigint")
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    counts = placed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    ends = counts.groupBy("_part").agg(F.min(key).alias("_first"), F.max(F.struct(key.alias("key"), "_n")).alias("_last"))
+    carried = _carried(ends.collect())  # one row per partition
+    if carried:
+        numbers = [carried.get(part, 0) for part in range(max(carried) + 1)]
+        carry = F.coalesce(F.get(F.array(*map(F.lit, numbers)).cast("array<bigint>"), F.col("_part")), F.lit(0))
+        # In the same order, the first key of a partition is numbered as the partition is.
+        whole = Window.partitionBy("_part").orderBy(*[F.asc_nulls_first(k) for k in keys], *order)
+        inside = inside + F.when(F.row_number().over(whole) == inside, carry).otherwise(F.lit(0))
+    return placed.select(*df.columns, inside.alias(name))
 
-    parts = placed.groupBy(*keys, "_part").agg(
-        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
-    # At most one row per sort partition and key here, so this window stays small.
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = parts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_part").alias("_p"),
-        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
-    )
-    match = F.col("_part") == F.col("_p")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return placed.join(offsets, match).select(
-        *df.columns, (F.col("_place") + F.col("_shift")).alias(name)
-    )
+
+def _carried(ends: list[Row]) -> dict[int, int]:
+    """By partition that goes on with the key of the one before, the rows of that key so far."""
+    carried, before, total = {}, None, 0
+    for part, first, (last, n) in sorted(ends, key=lambda r: r["_part"]):
+        goes_on = before is not None and first == before
+        if goes_on:
+            carried[part] = total
+        total = n + (total if goes_on and first == last else 0)
+        before = last
+    return carried
 
 
 def first_n(

@@ -41,3 +41,11 @@ class Store:
         path = self.fresh_path(label)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_bucketed(self, df: DataFrame, label: str, column: str) -> DataFrame:
+        """As ``keep``, in buckets of ``column``: what is read back is grouped by it without a shuffle."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path = self.fresh_path(label)
+        name = "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 1)[-1])
+        df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(name)
+        return self.spark.table(name)

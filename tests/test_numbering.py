@@ -89,3 +89,46 @@ def test_a_hot_join_key_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_positions_take_one_exchange_and_a_number_per_partition(spark, store):
+    """Without broadcasts by size there is one exchange of the rows, that of the range sort, before they are written."""
+    df, rows = skewed(spark)
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        found = number_rows(df, ["k"], [F.col("v"), F.col("id")], store)
+        found.write.format("noop").mode("overwrite").save()
+        got = {r.id: r.position for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    groups = {}
+    for i, k, v in rows:
+        groups.setdefault(k, []).append((v, i))
+    assert got == {i: p for g in groups.values() for p, (_, i) in enumerate(sorted(g), start=1)}
+
+
+def test_positions_of_keys_that_begin_and_end_anywhere(spark, store):
+    """Many partitions: keys inside one, keys over several, null keys, two key columns, one key, no row."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for seed, keys in enumerate([3, 40, 1, 5000]):
+            rng = random.Random(seed)
+            rows = [(i, rng.choice([None, *range(keys)]), rng.choice(["x", None])) for i in range(4000)]
+            df = spark.createDataFrame(rows, "id bigint, a bigint, b string").repartition(4)
+            groups = {}
+            for i, a, b in rows:
+                groups.setdefault((a, b), []).append(-i)
+            want = {-i: p for g in groups.values() for p, i in enumerate(sorted(g), start=1)}
+            got = number_rows(df, ["a", "b"], [F.desc("id")], store, "at").collect()
+            assert {r["id"]: r["at"] for r in got} == want
+        assert number_rows(df.limit(0), ["a"], [F.col("id")], store).collect() == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
