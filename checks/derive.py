@@ -71,7 +71,12 @@ DEFINITIONS: dict[str, str] = {
           (3,'OLD50','n3','amount',50,0,'1995-01-01 00:00:00','1996-01-01 00:00:00',0,true),
           (4,'OFF10','n4','percent',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',0,false),
           (5,'FEW15','n5','percent',15,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',50,true),
-          (6,'HALF','n6','percent',50,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',30,true)
+          (6,'HALF','n6','percent',50,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',30,true),
+          (-1,'CHAIN1','k1','amount',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',1,true),
+          (-2,'CHAIN2','k2','amount',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',1,true),
+          (-3,'CHAIN3','k3','amount',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',1,true),
+          (-4,'CHAIN4','k4','amount',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',1,true),
+          (-5,'CHAIN5','k5','amount',10,0,'1995-01-01 00:00:00','2030-01-01 00:00:00',1,true)
         ) as t(id,code,name,discount_type,discount_value,min_spend,s,e,usage_limit,is_active)
         union all
         select s_suppkey+7, concat('SUP', cast(s_suppkey as varchar(20))), s_name,
@@ -217,7 +222,20 @@ DEFINITIONS: dict[str, str] = {
             when '5-LOW' then case when o_orderkey % 4 = 1 then 'OLD50' else 'half' end
             else case when o_orderkey % 3 = 1 then '' else 'Few15' end end as coupon_code,
           o_orderdate as requested_at
-        from orders""",
+        from orders
+        union all
+        -- Buyers without courses, in a row: each loses a coupon's last use to the one before and takes the next one's.
+        select -2 * n - step, user_id, cast(1 as bigint), concat('chain', cast(n - 1 + step as varchar(20))),
+          case n * 2 + step when 2 then cast('2001-01-01 00:00:02' as {time}) when 3 then cast('2001-01-01 00:00:03' as {time})
+            when 4 then cast('2001-01-01 00:00:04' as {time}) when 5 then cast('2001-01-01 00:00:05' as {time})
+            when 6 then cast('2001-01-01 00:00:06' as {time}) when 7 then cast('2001-01-01 00:00:07' as {time})
+            when 8 then cast('2001-01-01 00:00:08' as {time}) when 9 then cast('2001-01-01 00:00:09' as {time})
+            when 10 then cast('2001-01-01 00:00:10' as {time}) else cast('2001-01-01 00:00:11' as {time}) end
+        from (
+          select user_id, row_number() over (order by user_id) as n from lms_profiles
+          where role = 'student' and user_id not in (select student_id from lms_enrollments)
+        ) c cross join (select 0 as step union all select 1) s
+        where n <= 5 and n - 1 + step >= 1""",
     "lms_purchase_plan": """
         select id*2 as id, user_id, course_id, coupon_id, created_at as requested_at
         from lms_orders where course_id is not null

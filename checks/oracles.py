@@ -408,8 +408,8 @@ def _first(rows: str) -> str:
       ) b where pick=1"""
 
 
-def _accepted(uses: str, rounds: int = 10) -> str:
-    """Serving in order, as the limit of repeated cut-offs; ``rounds`` is ample for the test data."""
+def _accepted(uses: str, rounds: int = 12) -> str:
+    """Serving in order, as the limit of repeated cut-offs; the last of ``rounds`` must move none."""
     parts = [
         f"eligible as ({_ELIGIBLE})",
         f"good as materialized (select * from ({_priced('eligible', uses)}) p where outcome='ok')",
@@ -428,7 +428,9 @@ def _accepted(uses: str, rounds: int = 10) -> str:
             "or g.requested_at < c.at or (g.requested_at = c.at and g.id <= c.last)"
         )
         parts.append(f"won{i} as materialized ({_first(kept)})")
-    return f"with {', '.join(parts)} select * from won{rounds}"
+    moved = f"(select * from cut{rounds} except select * from cut{rounds-1})"
+    at_rest = f"case when exists {moved} then error('the cut-offs still move') else true end"
+    return f"with {', '.join(parts)} select * from won{rounds} where {at_rest}"
 
 
 _ACCEPTED = _accepted("lms_coupon_usages")

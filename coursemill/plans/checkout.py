@@ -6,13 +6,14 @@ A request is ``(id, user_id, course_id, coupon_code, requested_at)``; requests c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import coupon_discount, coupon_usable, strip
 from ..operators.lookup import only_existing, only_missing, rename
 from ..operators.merging import absent, with_new_ids
 from ..operators.numbering import number_rows, one_per_key
+from ..operators.unions import union_all
 from ..schema import PURCHASE_NOTICE_TITLE
 from ..shop import Shop
 from ..store import Store
@@ -129,12 +130,6 @@ def _before_cutoff(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     )
 
 
-def _same_cutoffs(a: DataFrame, b: DataFrame) -> bool:
-    """Both frames have one row per coupon, so equal rows pair up exactly."""
-    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), a.columns, "full")
-    return both.filter(F.col("_a").isNull() | F.col("_b").isNull()).isEmpty()
-
-
 def _last_allowed(winners: DataFrame, store: Store) -> DataFrame:
     """Per coupon, the winner that takes its last use; nothing for a coupon with uses to spare."""
     rows = winners.select("coupon_id", "left", *_TIME_ORDER)
@@ -144,46 +139,64 @@ def _last_allowed(winners: DataFrame, store: Store) -> DataFrame:
     )
 
 
+def _frontier(before: DataFrame, after: DataFrame) -> Row:
+    """The earliest time (as text, for it goes back as a literal) and request id at which a coupon's cutoff came or
+    went; nulls if all are at rest."""
+    sides = [
+        cutoffs.select("coupon_id", F.struct("_cut_at", "_cut_id").alias(side))
+        for side, cutoffs in (("_old", before), ("_new", after))
+    ]
+    moved = sides[0].join(sides[1], "coupon_id", "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    first = moved.agg(F.min(F.least("_old", "_new")).alias("first"))
+    return first.select(F.col("first._cut_at").cast("string").alias("at"), F.col("first._cut_id").alias("id")).first()
+
+
+def _contested(left: DataFrame, rows: DataFrame) -> DataFrame:
+    """Coupons that are asked for more often than they have uses left."""
+    asked = rows.filter(F.col("coupon_id").isNotNull()).groupBy("coupon_id").agg(F.count(F.lit(1)).alias("_asked"))
+    return left.join(asked, "coupon_id").filter(F.col("_asked") > F.col("left")).select("coupon_id", "left")
+
+
 def accept(shop: Shop, priced: DataFrame, store: Store) -> DataFrame:
     """The requests that become purchases: first good request per (user, course), coupon limits kept.
 
     Whether a request succeeds depends on earlier successes: one for the same pair, or enough
     of the same limited coupon. The second only matters for coupons asked for more often than
     they have uses left, and only for pairs with such a request; everything else is settled by
-    one aggregation. For the rest, repeat: pick winners among the requests not cut off; the
-    coupon's last allowed winner is its new cutoff. Each round settles at least the earliest
-    open request, so the loop ends, with the result of serving in order. The state
-    between rounds is one row per contested coupon.
+    one aggregation. For the rest, repeat: pick winners among the requests not cut off; a
+    coupon's last allowed winner is its new cutoff. What lies before the earliest cutoff that moved
+    depends on nothing that still may change, so it is final: its winners are settled, and they, all
+    other requests before that time, later ones for the same pairs and those for used-up coupons
+    leave the iteration. Each round settles at least the earliest open request, so the loop ends, with
+    the result of serving in order.
+    The state between rounds is one row per contested coupon and the open requests, with the uses left.
     """
-    good = priced.filter(F.col("outcome") == OK).select(*PRICED)
-    good = store.keep(good, "checkout-good")
-    asked = good.filter(F.col("coupon_id").isNotNull()).groupBy("coupon_id").agg(F.count(F.lit(1)).alias("_asked"))
-    contested = store.keep(
-        _limited(shop).join(asked, "coupon_id").filter(F.col("_asked") > F.col("left")).select("coupon_id", "left"),
-        "checkout-contested",
-    )
-    if contested.isEmpty():
+    good = store.keep(priced.filter(F.col("outcome") == OK).select(*PRICED), "checkout-good")
+    left = store.keep(_contested(_limited(shop), good), "checkout-contested")
+    if left.isEmpty():
         return _first_per_pair(good)
+    pairs = good.join(left, "coupon_id", "left_semi").select("user_id", "course_id").distinct()
+    settled = [_first_per_pair(good.join(pairs, ["user_id", "course_id"], "left_anti").select(*PRICED))]
+    rows = good.join(pairs, ["user_id", "course_id"], "left_semi").join(left, "coupon_id", "left").select(*PRICED, "left")
+    rows = store.keep(rows, "checkout-open")
 
-    pairs = (
-        good.join(contested, "coupon_id", "left_semi").select("user_id", "course_id").distinct()
-    )
-    settled = _first_per_pair(good.join(pairs, ["user_id", "course_id"], "left_anti").select(*PRICED))
-    disputed = store.keep(
-        good.join(pairs, ["user_id", "course_id"], "left_semi").select(*PRICED), "checkout-disputed"
-    )
-
-    cut_type = good.schema["requested_at"].dataType.simpleString()
-    cutoffs = contested.sparkSession.createDataFrame(
-        [], f"coupon_id bigint, _cut_at {cut_type}, _cut_id bigint"
-    )
+    cut_type = good.schema["requested_at"].dataType
+    cutoffs = good.sparkSession.createDataFrame([], f"coupon_id bigint, _cut_at {cut_type.simpleString()}, _cut_id bigint")
     while True:
-        winners = _first_per_pair(_before_cutoff(disputed, cutoffs)).join(contested, "coupon_id")
-        moved = store.keep(_last_allowed(winners, store), "checkout-cutoffs")
-        at_rest = _same_cutoffs(moved, cutoffs)
-        cutoffs = moved
-        if at_rest:
-            return settled.unionByName(_first_per_pair(_before_cutoff(disputed, cutoffs)))
+        winners = store.keep(_first_per_pair(_before_cutoff(rows, cutoffs)), "checkout-winners")
+        moved = _last_allowed(winners.filter("left is not null"), store)
+        first = _frontier(cutoffs, moved)
+        if first["id"] is None:
+            return union_all([*settled, winners.select(*PRICED)])
+        frontier = F.struct(F.lit(first["at"]).cast(cut_type).alias("requested_at"), F.lit(first["id"]).cast("bigint").alias("id"))
+        final = winners.filter(F.struct(*_TIME_ORDER) < frontier)
+        settled.append(final.select(*PRICED))
+        # A coupon whose last use is final has none left, so no cutoff before the frontier is needed again.
+        cutoffs = moved.filter(F.struct("_cut_at", "_cut_id") >= frontier)
+        uses = final.groupBy("coupon_id").agg(F.count(F.lit(1)).alias("_uses"))
+        later = rows.filter(F.struct(*_TIME_ORDER) >= frontier).join(final, ["user_id", "course_id"], "left_anti")
+        later = later.join(uses, "coupon_id", "left").withColumn("left", F.col("left") - F.coalesce("_uses", F.lit(0)))
+        rows = store.keep(later.filter("left is null or left > 0").select(*PRICED, "left"), "checkout-open")
 
 
 PURCHASED = ["user_id", "course_id", "requested_at", "id"]

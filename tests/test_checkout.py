@@ -167,3 +167,32 @@ def test_codes_that_differ_only_in_case_do_not_double_a_request(spark, store):
     data["requests"] = [(1, 1, 1, "Save", DAY)]
     priced = checkout.price_checkout(shop_of(spark, data), requests_of(spark, data)).collect()
     assert [(r.coupon_id, r.discount) for r in priced] == [(1, 10)]
+
+
+def test_a_chain_of_displaced_buyers_leaves_the_iteration_step_by_step(spark, store, monkeypatch):
+    """Each buyer loses a coupon's last use to the one before and takes the next coupon's: one round each.
+
+    What lies before the earliest cutoff that moved is final, so the open requests get fewer in every round.
+    """
+    n = 9
+    data = {k: [] for k in ("courses", "coupons", "profiles", "enrollments", "coupon_usages", "requests")}
+    data["courses"] = [(1, "c", 100)]
+    for i in range(n):
+        data["coupons"].append((i, f"K{i}", "amount", 10, 0, DAY, DAY + timedelta(days=99), 1, True))
+        data["profiles"].append((i, i, "student"))
+        data["requests"].append((10 * i, i, 1, f"k{i}", DAY + timedelta(hours=2 * i)))
+        if i:
+            data["requests"].append((10 * i + 1, i, 1, f"k{i - 1}", DAY + timedelta(hours=2 * i - 1)))
+    sizes, keep = [], store.keep
+
+    def watched(df, label):
+        kept = keep(df, label)
+        if label == "checkout-open":
+            sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(store, "keep", watched)
+    done = checkout.checkout(shop_of(spark, data), requests_of(spark, data), store)
+    got = [(r.id, r.user_id, r.course_id, r.coupon_id, r.price, r.discount, r.final) for r in done.numbered.orderBy("number").collect()]
+    assert got == serve_in_order(data) and len(got) == n
+    assert len(sizes) >= 5 and sizes[0] >= sizes[1] and all(a > b for a, b in zip(sizes[1:], sizes[2:]))
