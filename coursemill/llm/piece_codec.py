@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship
+from .common import pieces, ship, text_bytes
 from .piece_models import model
 
 
@@ -33,12 +33,9 @@ def encode(
         codec = model(serialized)
         for piece in (p for b in batches for p in pieces(b)):
             codec.trim()
-            coded = [codec.encode(text) for text in piece.column(1).to_pylist()]
-            places = np.cumsum([0, *(len(x) // 4 for x in coded)])
-            ids = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.ListArray.from_arrays(pa.array(places, pa.int32()), ids)], names=["_id", "ids"]
-            )
+            ids, places = codec.encode_all(piece.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["_id", "ids"])
 
     return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_column)
 
@@ -60,9 +57,10 @@ def decode(
         codec = model(serialized)
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
             ids = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            texts = [codec.decode(ids[end - n : end]) for end, n in zip(ends, lengths)]
+            data, places = codec.decode_all(ids.astype(np.int64), np.r_[0, np.cumsum(lengths)].astype(np.int64))
+            raw, at = data.tobytes(), places.tolist()
+            texts = [raw[a:b].decode(errors="replace") for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
 
     return rows.mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_column)
@@ -84,15 +82,19 @@ def round_trip(
         codec = model(serialized)
         for piece in (p for b in batches for p in pieces(b)):
             codec.trim()
-            texts = [text or "" for text in piece.column(1).to_pylist()]
-            coded = [codec.encode(text) for text in texts]
-            same = [codec.decode(np.frombuffer(x, "<i4")) == text for x, text in zip(coded, texts)]
+            ids, places = codec.encode_all(piece.column(1))
+            raw, at = ids.astype("<i4").tobytes(), (places * 4).tolist()
+            wrote, began = codec.decode_all(ids, places)
+            data, offsets = text_bytes(piece.column(1))
+            # Both sides are UTF-8, so texts are equal where their bytes are.
+            left, right = wrote.tobytes(), data.tobytes()
+            bounds = zip(began.tolist(), began[1:].tolist(), offsets.tolist(), offsets[1:].tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(0),
-                    pa.array([len(x) // 4 for x in coded], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in coded], pa.int64()),
-                    pa.array(same, pa.bool_()),
+                    pa.array(np.diff(places), pa.int64()),
+                    pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], pa.int64()),
+                    pa.array([left[a:b] == right[c:d] for a, b, c, d in bounds], pa.bool_()),
                 ],
                 names=["_id", "n_tokens", "ids_crc32", "round_trip"],
             )

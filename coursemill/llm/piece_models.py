@@ -8,7 +8,7 @@ table holds the encoding of every prefix.
 
 No piece of the usual models reaches from a character into a following blank, so a text falls apart into
 units, each a run of blanks and what follows up to the next blank, that are encoded one by one. Units are
-remembered by the worker, so that a frequent word passes through the automaton once.
+remembered by the worker, so that a frequent word passes through the automaton once, and a batch of texts asks for each different unit once.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from typing import Generic, TypeVar
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import ranges, text_bytes
 
 #: Fixed values of the SentencePiece format: the sign for a blank, model and piece types, the penalty of unknowns.
 BLANK = "▁"
@@ -28,7 +32,7 @@ UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
 
 #: Units a worker remembers, in each of two generations; longer units are not remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -87,7 +91,9 @@ class PieceModel:
         for piece in self.ids:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.surfaces = [self._surface(p) for p in proto.pieces]
+        surfaces = [self._surface(p) for p in proto.pieces]
+        starts = np.cumsum([0, *map(len, surfaces)])
+        self.surface_table = np.frombuffer(b"".join(surfaces), np.uint8), starts
         self._pairs: dict[tuple[str, str], bool] = {}
         self._alone: dict[str, bool] = {}
         self.unit_ids: Remembered[bytes] = Remembered(self._ids_of_unit)
@@ -203,21 +209,72 @@ class PieceModel:
             plain = BLANK + plain
         return _UNITS.findall(plain) if self.splits else [plain]
 
+    def unit_table(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(first unit of each text, n + 1 places; number of every unit; the different units) of several texts.
+
+        Arrow finds the different units, so that Python looks at each of them once.
+        """
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), BLANK, " ")
+        if self.dummy_prefix:
+            some = pc.greater(pc.binary_length(plain), 0)
+            plain = pc.binary_join_element_wise(pc.if_else(some, " ", "").cast(pa.large_string()), plain, pa.scalar("", pa.large_string()))
+        data, offsets = text_bytes(plain)
+        begins = np.zeros(len(data) + 1, bool)
+        if self.splits:
+            blank = data == 0x20
+            begins[:-1] = blank
+            begins[1:-1] &= ~blank[:-1]
+        begins[offsets[:-1]] = True
+        begins[-1] = False
+        starts = np.flatnonzero(begins)
+        places = np.r_[starts, len(data)]
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data.tobytes()))
+        coded = units.dictionary_encode()
+        different = [x.replace(" ", BLANK) for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        return np.searchsorted(starts, offsets), coded.indices.to_numpy(zero_copy_only=False), different
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, n + 1 places where those of each text begin)."""
+        first, number, units = self.unit_table(texts)
+        coded = [self.unit_ids[x] for x in units]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, starts, counts = np.frombuffer(b"".join(coded), "<i4"), np.cumsum(lengths) - lengths, lengths[number]
+        return ids[ranges(starts[number], counts)], np.r_[0, np.cumsum(counts)][first]
+
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of every text."""
+        first, number, units = self.unit_table(texts)
+        counts = np.fromiter((self.unit_counts[x] for x in units), np.int64, len(units))
+        return np.diff(np.r_[0, np.cumsum(counts[number])][first])
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian signed 32-bit integers."""
-        return b"".join(map(self.unit_ids.__getitem__, self.units(text or "")))
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<i4").tobytes()
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.unit_counts.__getitem__, self.units(text or "")))
+        return int(self.count_all(pa.array([text], pa.string()))[0])
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids; bytes that are no UTF-8 become replacement signs."""
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].tobytes().decode(errors="replace")
 
     def trim(self) -> None:
         self.unit_ids.trim()
         self.unit_counts.trim()
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids; bytes that are no UTF-8 become replacement signs. The added first blank is taken off."""
-        text = b"".join(map(self.surfaces.__getitem__, ids.tolist())).decode(errors="replace")
-        return text.removeprefix(" ") if self.dummy_prefix else text
+    def decode_all(self, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts, n + 1 places where each begins) of their ids. The added first blank is taken off."""
+        flat, starts = self.surface_table
+        lengths = np.diff(starts)[ids]
+        data = flat[ranges(starts[ids], lengths)]
+        at = np.r_[0, np.cumsum(lengths)][places]
+        if self.dummy_prefix:
+            first = at[:-1][np.diff(at) > 0]
+            extra = np.zeros(len(data), bool)
+            extra[first] = data[first] == 0x20
+            at = at - np.r_[0, np.cumsum(extra)][at]
+            data = data[~extra]
+        return data, at
 
     def counts_by_prefix(self, text: str | None) -> np.ndarray:
         """Number of ids of ``text[:n]`` for every n from 0 to the length of the text."""

@@ -30,7 +30,7 @@ def token_counts(
 
     def count(codec: PieceModel, piece: pa.RecordBatch) -> list[pa.Array]:
         sizes = pc.fill_null(pc.binary_length(piece.column(1)), 0).cast(pa.int64())
-        return [sizes, pa.array([codec.count(text) for text in piece.column(1).to_pylist()], pa.int64())]
+        return [sizes, pa.array(codec.count_all(piece.column(1)), pa.int64())]
 
     return _by_row(docs, serialized, count, "n_bytes bigint, n_tokens bigint", id_column, text_column)
 

@@ -14,36 +14,71 @@ ran twice leaves files that nobody reads.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.store import Store
 
-from .common import filesystem, join_path, make_folder, pieces, ship
+from .chunks import dictionary
+from .common import filesystem, join_path, make_folder, pieces, ranges, ship, text_bytes
 
 #: Words whose ids a Python worker remembers, in each of two generations.
 REMEMBERED = 300_000
 
 
-#: Signs between a letter or digit and white space; the tokenizer cuts there as it does at white space.
-_SIGNS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))[.,;:!?$&*|]+(?=\s)")
+_BLANK, _SIGN, _LETTER, _AFTER_C3 = (np.zeros(256, bool) for _ in range(4))
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_SIGN[[*b".,;:!?$&*|"]] = True
+_LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+_AFTER_C3[[*range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
-def parts(text: str | None) -> list[bytes]:
-    """Parts of a text that the tokenizer never joins, as few different ones as can be had cheaply."""
-    plain = (text or "").encode()
-    if b"<|" not in plain:  # the marker of a special token is told by its small letters
-        plain = _SIGNS.sub(rb" \g<0>", plain.lower())
-    return plain.split()
+def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(first part of each text, n + 1 places; number of every part; the different parts) of several texts.
+
+    Parts are what the tokenizer never joins: it cuts at white space, and between a letter or digit and signs. The
+    latter is done here where white space follows, so that there are few different parts. A text with the marker
+    of a special token, which is told by its small letters, is cut at white space alone and keeps its capitals.
+    """
+    data, offsets = text_bytes(texts)
+    n = len(data)
+    marked = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)
+    plain = np.repeat(~marked, np.diff(offsets))
+    low = np.where(plain, _LOWER[data], data)
+    blank, sign = _BLANK[low], _SIGN[low]
+    starts_text, ends_text = np.zeros(n, bool), np.zeros(n, bool)
+    some = np.diff(offsets) > 0
+    starts_text[offsets[:-1][some]] = True
+    ends_text[offsets[1:][some] - 1] = True
+    begins = ~blank
+    begins[1:] &= blank[:-1] | starts_text[1:]
+    finishes = ~blank
+    finishes[:-1] &= blank[1:] | ends_text[:-1]
+    # Runs of signs after a letter and before white space of the same text.
+    first = np.flatnonzero(sign[1:] & ~sign[:-1] & ~starts_text[1:] & plain[1:]) + 1
+    last = np.flatnonzero(sign[:-1] & ~ends_text[:-1] & blank[1:] & plain[:-1])
+    if len(first) and len(last):
+        two_back = np.where(first > 1, low[first - 2], 0)
+        letter = _LETTER[low[first - 1]] | (_AFTER_C3[low[first - 1]] & (two_back == 0xC3) & ~starts_text[first - 1])
+        stop = last[np.minimum(np.searchsorted(last, first), len(last) - 1)]
+        whole = np.r_[0, np.cumsum(sign)]
+        cut = first[letter & (stop >= first) & (whole[np.maximum(stop, first) + 1] - whole[first] == np.maximum(stop, first) + 1 - first)]
+        begins[cut] = True
+        finishes[cut - 1] = True
+    starts = np.flatnonzero(begins)
+    number, different = dictionary(low, starts, np.flatnonzero(finishes) + 1)
+    return np.searchsorted(starts, offsets), number, different
 
 
 class WordEncoder:
@@ -82,13 +117,26 @@ class WordEncoder:
             self.young.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [parts(t) for t in texts]
+        ids, places = self.encode_all(pa.array(texts, pa.string()), 0)
+        return [ids[a : b - 1].tobytes() for a, b in zip(places, places[1:])]
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, ``end_id`` after each; n + 1 places where those of each begin)."""
+        first, number, different = parts(texts)
+        words = [w.encode() for w in different.to_numpy(zero_copy_only=False).tolist()]
         if len(self.young) > REMEMBERED:
-            self.learn(set(chain.from_iterable(split)))
+            self.learn(words)
         else:
-            self.learn(set(filterfalse(self.young.__contains__, chain.from_iterable(split))))
-        known = self.young.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+            self.learn(filterfalse(self.young.__contains__, words))
+        coded = [self.young[w] for w in words]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, starts, counts = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(lengths) - lengths, lengths[number]
+        places = np.r_[0, np.cumsum(counts)][first] + np.arange(len(first))
+        whole = np.full(places[-1], end_id, "<u4")
+        inside = np.ones(len(whole), bool)
+        inside[places[1:] - 1] = False
+        whole[inside] = ids[ranges(starts[number], counts)]
+        return whole, places
 
 
 def encoder(path: str, _kept: dict[str, WordEncoder] = {}) -> WordEncoder:
@@ -121,7 +169,6 @@ def write_token_files(
     make_folder(folder)
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     rows = rows.withColumn("_order", F.xxhash64("_text"))
-    end = np.array([end_id], "<u4").tobytes()
     id_bytes = 2 if max(encoder(tokenizer_path).largest_id, end_id) < 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +180,9 @@ def write_token_files(
             for batch in batches:
                 keys.append(batch.column(0))
                 for piece in pieces(batch):
-                    coded = words.encode(piece.column(1).to_pylist())
-                    ids = np.frombuffer(end.join(coded) + end, "<u4")
+                    ids, own = words.encode_all(piece.column(1), end_id)
                     out.write(ids.astype(f"<u{id_bytes}").tobytes())
-                    lengths.append(np.fromiter((len(x) // 4 + 1 for x in coded), np.uint64, len(coded)))
+                    lengths.append(np.diff(own).astype(np.uint64))
         if not keys:
             system.delete_file(f"{path}.ids")
             return
