@@ -13,13 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coursemill.operators.numbering import first_n
+
 from .common import held_out, pieces, ship
 
-#: Bound of what is learned: rows of each language, characters of each row, bytes of each dictionary.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2_000, 32 << 10
+#: Bound of what is learned: rows of each language, slices of each row and their characters, bytes of each dictionary.
+SAMPLE_ROWS, SLICES, SLICE_CHARS, DICTIONARY_BYTES = 400, 4, 120, 32 << 10
+SALTS = 64
 #: Bytes that are compressed together, so that a long text goes on being compared with the dictionary
 #: instead of with itself.
 SEGMENT_BYTES = 2048
@@ -48,15 +51,35 @@ def learn_dictionaries(
         F.col(text_column).alias("_text"),
         F.xxhash64(F.lit("sample"), F.col(id_column), F.col(text_column)).alias("_order"),
     )
-    rows = rows.filter("_lang is not null and _text rlike '\\\\p{L}'")
-    rows = rows.select("_lang", "_order", F.substring("_text", 1, SAMPLE_CHARS).alias("_text"))
-    # Spark keeps the first rows of every language in each task before it shuffles them.
-    first = Window.partitionBy("_lang").orderBy("_order", "_text")
-    sample = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_ROWS)
+    rows = rows.filter("_lang is not null and _text rlike '\\\\p{L}'").select("_lang", "_order", _slices(F.col("_text")).alias("_text"))
+    # Limited in each task, then in each of ``SALTS`` shares of a language, then in the language.
+    order = [F.asc("_order"), F.asc("_text")]
+    some = first_n(rows.withColumn("_salt", F.pmod("_order", F.lit(SALTS))), ["_lang", "_salt"], order, SAMPLE_ROWS, "_n")
+    sample = first_n(some.drop("_n", "_salt"), ["_lang"], order, SAMPLE_ROWS, "_n")
     found: dict[str, list[bytes]] = {}
     for row in sorted(sample.select("_lang", "_n", "_text").collect()):
         found.setdefault(row["_lang"], []).append(plain(row["_text"]))
-    return {lang: b" ".join(texts)[:DICTIONARY_BYTES] for lang, texts in found.items()}
+    return {lang: _joined(texts) for lang, texts in found.items()}
+
+
+def _slices(text: Column) -> Column:
+    """``SLICES`` slices of a text at equal distances from its beginning to its end; a short text as it is."""
+    length = F.char_length(text)
+    step = (length - SLICE_CHARS) / F.lit(max(1, SLICES - 1))
+    parts = [F.substring(text, F.floor(step * i).cast("int") + 1, F.lit(SLICE_CHARS)) for i in range(SLICES)]
+    return F.when(length <= SLICES * SLICE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
+def _joined(texts: list[bytes]) -> bytes:
+    """All texts of the sample in one dictionary: each gives its beginning, as long as the dictionary has room for all."""
+    room = DICTIONARY_BYTES // len(texts)
+    spare = DICTIONARY_BYTES - sum(min(len(t) + 1, room) for t in texts)
+    kept = []
+    for text in texts:
+        more = min(spare, max(0, len(text) + 1 - room))
+        spare -= more
+        kept.append(text[: room + more - 1])
+    return b" ".join(kept)
 
 
 class Classifier:

@@ -79,7 +79,7 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
 
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
-    return identify(docs, learn_dictionaries(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs, learn_dictionaries(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

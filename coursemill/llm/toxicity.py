@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from .common import Words, held_out, pieces, ship, text_bytes, words_of
 from .gru import WORD_DIM, Adam, Params, forward, gradient, logits, new_params, project, sigmoid, spelling, trigrams
 
-#: Words of a window, words from one window to the next.
-WINDOW, STRIDE = 32, 24
-#: Bound of what is learned from: rows of each label, characters of each row, different words.
-SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 1_000, 10_000, 20_000
+#: Words of a window, words from one window to the next: any passage of 16 words lies whole in a window.
+WINDOW, STRIDE = 32, 16
+#: Bound of what is learned from: rows of each label (their whole texts), different words.
+SAMPLE_ROWS, VOCABULARY = 1_000, 20_000
 STEPS, RENEWED, BATCH, RATE, SEED = 240, 60, 96, 0.01, 7
 #: ``STEPS`` batches are learned; the windows are chosen anew after each ``RENEWED``.
 #: Share of words whose own embedding is left out while learning, so that spelling counts.
-DROPPED = 0.3
+DROPPED = 0.5
 #: Windows that are scored together.
 TOGETHER = 4096
 TOXIC_FROM = 0.3
@@ -49,7 +49,7 @@ def _grid(first: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.nd
     """(time, windows) numbers of the words of windows, and the mask of those that exist."""
     at = first[text][None, :] + start[None, :] + np.arange(WINDOW)[:, None]
     mask = at < first[text + 1][None, :]
-    return np.where(mask, at, 0), mask.astype(np.float32)
+    return np.where(mask, at, 0).astype(np.int32), mask.astype(np.float32)
 
 
 class Lexicon:
@@ -169,7 +169,7 @@ def learn(
     """Train on a bounded sample of the labelled rows that may be learned from.
 
     The sample is picked among the labels: the ``SAMPLE_ROWS`` ids of each label with the smallest hashes. Only these
-    ids are looked for in ``docs``, and ``SAMPLE_CHARS`` characters of each text come to the driver. Rows without
+    ids are looked for in ``docs``, and their whole texts come to the driver. Rows without
     label or text are not learned from; a document with several labels has the largest; of more rows than were
     picked, as ids may repeat, those with the smallest hashes count.
     """
@@ -181,7 +181,7 @@ def learn(
     rows = docs.select(F.col(id_column).alias("_marked"), F.col(text_column).alias("_text")).filter("_text is not null")
     # At most 2 * SAMPLE_ROWS ids.
     rows = rows.join(F.broadcast(picked[0].unionAll(picked[1])), "_marked")
-    rows = rows.select("_label", F.xxhash64("_marked", "_text").alias("_n"), F.substring("_text", 1, SAMPLE_CHARS).alias("_text"))
+    rows = rows.select("_label", F.xxhash64("_marked", "_text").alias("_n"), "_text")
     sample = rows.orderBy("_n", "_text").limit(2 * SAMPLE_ROWS)
     found = sorted(sample.select("_label", "_n", "_text").collect())
     return train([r["_text"] for r in found], np.array([r["_label"] for r in found], np.float32))

@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,23 +102,37 @@ def inflated(stream: pa.NativeFile) -> Iterator[bytes]:
     yield inflate.flush()
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed, for the exchange."""
+    press = zstandard.ZstdCompressor(level=3)
+    for piece in (p for b in batches for p in pieces(b, 2)):
+        packed = [press.compress((x or "").encode()) for x in piece.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [piece.column(0), piece.column(1), piece.column(3), piece.column(4), pa.array(packed, pa.binary())],
+            names=["_id", "_url", "_sha", "_size", "_packed"],
+        )
+
+
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Pages with ``_first`` and ``_first_url``: the page they revisit, null for responses.
+    """``_id``, ``_url`` and ``_packed`` (the payload, compressed) of pages, with ``_first`` and ``_first_url``: the page
+    they revisit, null for responses.
 
     Pages with equal payloads of at least ``least_bytes`` bytes revisit the one of the smallest id. The pages
     are put together by the payload's SHA-256 before anything is shuffled; a payload that a third of all
     pages have is one row per task. Null ids come after all others, and of pages that repeat an id each is
     a response if one is. Null payloads are empty.
     """
-    rows = pages.withColumn("_bytes", F.coalesce(F.col("_html"), F.lit("")).cast("binary"))
-    rows = rows.withColumn("_sha", F.unhex(F.sha2("_bytes", 256)))
+    payload = F.coalesce(F.col("_html"), F.lit("")).cast("binary")
+    rows = pages.withColumn("_sha", F.unhex(F.sha2(payload, 256))).withColumn("_size", F.octet_length(payload).cast("bigint"))
     firsts = rows.groupBy("_sha").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_url")).alias("_from"))
-    both = rows.join(firsts, "_sha")
-    revisit = (F.octet_length("_bytes") >= least_bytes) & ~F.col("_id").eqNullSafe(F.col("_from._id"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, _url string, _sha binary, _size bigint, _packed binary"
+    both = rows.select("_id", "_url", "_html", "_sha", "_size").mapInArrow(_pressed, schema).join(firsts, "_sha")
+    revisit = (F.col("_size") >= least_bytes) & ~F.col("_id").eqNullSafe(F.col("_from._id"))
     return both.select(
         "_id",
         "_url",
-        "_html",
+        "_packed",
         F.when(revisit, F.col("_from._id")).alias("_first"),
         F.when(revisit, F.col("_from._url")).alias("_first_url"),
     )
@@ -148,20 +163,20 @@ def write_archives(
     rows = with_revisits(rows, least_bytes).select(
         F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"),
         "_url",
-        "_html",
+        "_packed",
         F.col("_first").cast("string").alias("_first"),
         F.coalesce("_first_url", F.lit("")).alias("_first_url"),
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name = None, f"pages-{uuid.uuid4().hex}.warc.gz"
-        deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
-        for piece in (p for b in batches for p in pieces(b, 2)):
+        deflate, inflate = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), zstandard.ZstdDecompressor()
+        for piece in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             if out is None:
                 system, path = filesystem(join_path(folder, name))
                 out = system.open_output_stream(path, compression=None)
             for row in piece.to_pylist():
-                one = record(row["_id"], row["_url"], (row["_html"] or "").encode(), row["_first"], row["_first_url"])
+                one = record(row["_id"], row["_url"], inflate.decompress(row["_packed"]), row["_first"], row["_first_url"])
                 out.write(deflate.compress(one))
         if out is not None:
             out.write(deflate.flush())

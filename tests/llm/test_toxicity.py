@@ -103,3 +103,10 @@ def test_accuracy_on_held_out_documents(spark):
     calm = [r["score"] for r in scored if not r["toxic"]]
     ranked = np.mean([(t > c) + (t == c) / 2 for t in toxic for c in calm])
     assert ranked > 0.8 and np.mean([c >= tox.TOXIC_FROM for c in calm]) < 0.1
+
+
+def test_every_passage_of_sixteen_words_lies_whole_in_a_window():
+    for words in (16, 40, 100, 333):
+        _, starts = tox.windows_of(np.array([words]))
+        for at in range(words - 15):
+            assert any(s <= at and at + 16 <= s + tox.WINDOW for s in starts)
