@@ -36,6 +36,8 @@ SMALL_BUCKET = 8
 FEW_HOLDERS, MORE_HOLDERS = 8, 8
 #: Parts of a larger bucket that each have a leader of their own, besides the bucket's.
 PARTS = 16
+#: Rounds of comparing with new leaders before the rest is joined by shared shingles. They only save work there.
+ROUNDS = 2
 
 _DART = np.uint64(0xD1B54A32D192ED03)
 _COPY = np.uint64(0xA0761D6478BD642F)
@@ -171,7 +173,7 @@ def near_duplicates(
     on the texts. Texts with the same weighted set are one node, so copies never make pairs. In a bucket of
     up to ``SMALL_BUCKET`` nodes all pairs are verified. A larger bucket, which a third of all documents may
     share, is never paired in full: its nodes are compared with the bucket's leader and the leader of one of
-    ``PARTS`` parts, and then, as long as that finds links, with a node of another component of the bucket,
+    ``PARTS`` parts, and then, in up to ``ROUNDS`` rounds, with a node of another component of the bucket,
     chosen anew in each round. That joins most of what belongs together; links between the components that are
     left in a large bucket are all found by the units of weight that their texts share (``_remainder``).
 
@@ -197,7 +199,7 @@ def near_duplicates(
     links = _links(pairs, texts, threshold, store)
     roots = components(links, store)
     number, tested = 0, pairs
-    while not large.isEmpty():
+    while number < ROUNDS and not large.isEmpty():
         number += 1
         pairs = store.keep(_next_pairs(large, roots, number).join(tested, ["a", "b"], "left_anti"), "pairs")
         fresh = _links(pairs, texts, threshold, store)
