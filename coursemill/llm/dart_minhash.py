@@ -32,12 +32,8 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 3)
 #: Buckets with so many different texts at most are compared in full; larger ones through leaders and shared shingles.
 SMALL_BUCKET = 8
-#: Units of weight that so many texts share at most are joined first; each further step takes more by this factor.
-FEW_HOLDERS, MORE_HOLDERS = 8, 8
 #: Parts of a larger bucket that each have a leader of their own, besides the bucket's.
 PARTS = 16
-#: Rounds of comparing with new leaders before the rest is joined by shared shingles. They only save work there.
-ROUNDS = 2
 
 _DART = np.uint64(0xD1B54A32D192ED03)
 _COPY = np.uint64(0xA0761D6478BD642F)
@@ -173,8 +169,7 @@ def near_duplicates(
     on the texts. Texts with the same weighted set are one node, so copies never make pairs. In a bucket of
     up to ``SMALL_BUCKET`` nodes all pairs are verified. A larger bucket, which a third of all documents may
     share, is never paired in full: its nodes are compared with the bucket's leader and the leader of one of
-    ``PARTS`` parts, and then, in up to ``ROUNDS`` rounds, with a node of another component of the bucket,
-    chosen anew in each round. That joins most of what belongs together; links between the components that are
+    ``PARTS`` parts. That joins most of what belongs together; links between the components that are
     left in a large bucket are all found by the units of weight that their texts share (``_remainder``).
 
     Null and empty texts, and others without a word, are alone: their class is their own id, their size 1.
@@ -196,18 +191,8 @@ def near_duplicates(
     wanted = wanted.unionAll(large.select("_node")).distinct()
     named = rows.filter("_text is not null").select("_id", "_text").mapInArrow(_named, "_node binary, _text string")
     texts = store.keep(named.join(wanted, "_node", "left_semi").dropDuplicates(["_node"]), "texts")
-    links = _links(pairs, texts, threshold, store)
-    roots = components(links, store)
-    number, tested = 0, pairs
-    while number < ROUNDS and not large.isEmpty():
-        number += 1
-        pairs = store.keep(_next_pairs(large, roots, number).join(tested, ["a", "b"], "left_anti"), "pairs")
-        fresh = _links(pairs, texts, threshold, store)
-        if fresh.isEmpty():
-            break
-        tested = tested.unionAll(pairs)
-        roots = _merged(fresh, roots, store)
-    if number:
+    roots = store.keep(components(_links(pairs, texts, threshold, store), store), "roots")
+    if not large.isEmpty():
         roots = _remainder(large, texts, roots, threshold, store)
 
     placed = signed.select("_id", "_node").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
@@ -243,30 +228,11 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return few.unionAll(stars).filter("_one <> _other").select(*_pair("_one", "_other")).distinct()
 
 
-def _next_pairs(large: DataFrame, roots: DataFrame, number: int) -> DataFrame:
-    """In large buckets with several components, one node of each and a node of another to compare it with."""
-    placed = _placed(large, roots)
-    order = F.struct(F.xxhash64("_node", F.lit(number)).alias("o"), F.col("_node").alias("n"))
-    each = placed.groupBy("_bucket", "_root").agg(F.min(order).alias("_one"))
-    each = each.withColumn("_part", F.pmod(F.xxhash64("_root", F.lit(number)), F.lit(PARTS)))
-    heads = each.groupBy("_bucket", "_part").agg(F.min("_one").alias("_head"))
-    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")))
-    leaders = each.groupBy("_bucket").agg(F.min("_one").alias("_head"))
-    heads = heads.unionAll(leaders.select("_bucket", parts.alias("_part"), "_head"))
-    both = each.join(heads, ["_bucket", "_part"]).select(F.col("_one.n").alias("_one"), F.col("_head.n").alias("_other"))
-    return both.filter("_one <> _other").select(*_pair("_one", "_other")).distinct()
-
-
 def _placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     placed = nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
     return placed.withColumn("_root", F.coalesce("root", "_node")).drop("root")
 
 
-def _merged(fresh: DataFrame, roots: DataFrame, store: Store) -> DataFrame:
-    merged = fresh.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return store.keep(components(merged, store), "roots")
-
-
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in (p for b in batches for p in pieces(b)):
         owner, region = _regions_of(piece.column(1))
@@ -279,11 +245,7 @@ def _remainder(large: DataFrame, texts: DataFrame, roots: DataFrame, threshold:
     """``roots`` with all links between nodes of large buckets that have several components.
 
     Two texts of ``threshold`` have a unit of weight in common, and the one with fewest holders is among the first
-    n - threshold * n + 1 of both, ordered by holders. These first units are joined, those with fewest holders to
-    begin with. A pair without a unit of at most ``few`` holders has all it shares among the others; then they are at
-    least ``threshold`` of either text, and 2 * threshold / (1 + threshold) of the smaller one. As long as there
-    is such a text, the texts with so many go on to units with more holders, until no unit is left. A unit's most
-    frequent component is not joined with itself, nor is any other.
+    n - threshold * n + 1 of both, ordered by holders. Only these first units are joined.
     """
     buckets = _placed(large, roots).groupBy("_bucket").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
     wanted = large.join(buckets.filter("_low <> _high"), "_bucket", "left_semi").select("_node").distinct()
@@ -292,34 +254,34 @@ def _remainder(large: DataFrame, texts: DataFrame, roots: DataFrame, threshold:
     holders = units.groupBy("_unit").agg(F.count(F.lit(1)).alias("_held")).filter("_held > 1")
     of_node = Window.partitionBy("_node")
     place = F.row_number().over(of_node.orderBy("_held", "_unit")) - F.count(F.lit(1)).over(of_node)
-    first = units.join(holders, "_unit").withColumn("_at", F.col("_size") + place)
-    first = store.keep(first.filter(F.col("_size") - F.col("_at") + 1 >= threshold * F.col("_size") - 1e-6), "first-units")
-
-    least, few = 1, FEW_HOLDERS
-    while True:
-        now = first.filter((F.col("_held") > least) & (F.col("_held") <= few))
-        pairs = store.keep(_unit_pairs(store.keep(_placed(now, roots), "units-now"), threshold), "pairs")
-        fresh = _links(pairs, texts, threshold, store)
-        if not fresh.isEmpty():
-            roots = _merged(fresh, roots, store)
-        rest = first.filter(F.col("_held") > few).groupBy("_node", "_size").agg(F.min("_at").alias("_at"))
-        rest = store.keep(rest.withColumn("_others", F.col("_size") - F.col("_at") + 1), "nodes-left")
-        if rest.filter(F.col("_others") >= 2 * threshold / (1 + threshold) * F.col("_size") - 1e-6).isEmpty():
-            return roots
-        first = first.join(rest.select("_node"), "_node", "left_semi")
-        least, few = few, few * MORE_HOLDERS
+    first = units.join(holders, "_unit").withColumn("_left", 1 - place)
+    first = first.filter(F.col("_left") >= threshold * F.col("_size") - 1e-6).drop("_held")
+    first = store.keep(_placed(first, roots), "first-units")
+    pairs = store.keep(_unit_pairs(first, threshold), "pairs")
+    fresh = _links(pairs, texts, threshold, store)
+    return components(fresh.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), store)
 
 
 def _unit_pairs(units: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes of different components with a common unit, if they can be of ``threshold`` by size and place."""
-    counts = units.groupBy("_unit", "_root").agg(F.count(F.lit(1)).alias("_n"))
-    most = counts.groupBy("_unit").agg(F.max_by("_root", "_n").alias("_most"), F.count(F.lit(1)).alias("_kinds"))
-    units = units.join(most.filter("_kinds > 1"), "_unit").select("_unit", "_node", "_root", "_most", "_size", "_at")
-    one = units.filter("_root <> _most").select("_unit", *(F.col(c).alias(c + "1") for c in ("_node", "_root", "_size", "_at")))
-    # No unit before the one in common is shared, if that is the one with fewest holders.
-    reach = 1 + F.least(F.expr("_size - _at"), F.expr("_size1 - _at1"))
-    both = one.join(units, "_unit").filter("_root <> _root1")
-    both = both.filter(reach >= threshold / (1 + threshold) * F.expr("_size + _size1") - 1e-6)
+    """Pairs of nodes of different components with a common unit, if they can be of ``threshold`` by size and place.
+
+    ``_left`` counts a text's units from this one on. If it is the common unit with fewest holders, all that the
+    two share is among these. A pair of ``threshold`` shares 2 * threshold / (1 + threshold) of its smaller text, so one
+    side has to have so many units left (``_small``); a widely held unit is followed by so many in few texts. A
+    unit's most frequent component is not joined with itself, nor is any other.
+    """
+    part = threshold / (1 + threshold)
+    units = units.withColumn("_small", F.col("_left") >= 2 * part * F.col("_size") - 1e-6)
+    counts = units.groupBy("_unit", "_root").agg(F.count(F.lit(1)).alias("_n"), F.max("_small").alias("_any"))
+    most = counts.groupBy("_unit").agg(
+        F.max_by("_root", "_n").alias("_most"), F.count(F.lit(1)).alias("_kinds"), F.max("_any").alias("_any")
+    )
+    units = units.join(most.filter("_kinds > 1 and _any").drop("_any"), "_unit")
+    fits = F.when(F.col("_small"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    one = units.filter("_root <> _most").withColumn("_other", F.explode(fits))
+    one = one.select("_unit", F.col("_other").alias("_small"), *(F.col(c).alias(c + "1") for c in ("_node", "_root", "_size", "_left")))
+    both = one.join(units, ["_unit", "_small"]).filter("_root <> _root1")
+    both = both.filter(F.least("_left", "_left1") >= part * F.expr("_size + _size1") - 1e-6)
     return both.select(*_pair("_node", "_node1")).distinct()
 
 
