@@ -31,28 +31,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
+    """Of equal texts the document with the smallest id; null and empty texts are equal, null ids come last."""
     return without_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each class of near duplicates the document that names it, the one with the smallest id.
+    """Of each class of near duplicates the document with the smallest id; a null id comes after all others.
 
-    Rows that repeat an id with other texts stay together, as the exact copies among them are gone.
+    Rows are told apart by id and text, so near copies that share an id, or have none, are one class like any
+    other, of which the smallest digest among the equal ids stays. Rows that repeat an id with its text stay
+    together; the stage before has removed them. Null, empty and wordless texts are alone and stay. Other columns
+    come through, whatever they are called.
     """
-    found = near_duplicates(docs, Store(spark))
-    named = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_named"))
-    return docs.join(named.distinct(), docs["doc_id"].eqNullSafe(F.col("_named")), "left_semi")
+    text = F.coalesce(docs["text"], F.lit(""))
+    key = F.struct(
+        docs["doc_id"].isNull().alias("none"),
+        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0)).alias("id"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+    )
+    found = near_duplicates(docs.select(key.alias("key"), docs["text"]), Store(spark), id_column="key")
+    stay = found.filter("key = class_id").select("key").distinct()
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(stay, "key", "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; a null or empty text has none and stays."""
     found = contamination(docs, read_table(spark, folder, "benchmark"), Store(spark), carry=True)
     return found.filter("n_hit = 0").select("row.*")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token ids of every document: doc_id, ``ids``, ``n_tokens``."""
+    """Token ids of every document: doc_id, ``ids``, ``n_tokens``. A null or empty text has no ids."""
     return encode(docs, piece_model()).withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
