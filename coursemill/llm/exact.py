@@ -64,7 +64,8 @@ def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column:
     """The rows of ``docs`` that stay, all columns; a row that repeats an id with its text stays once.
 
     The rows that stay are picked by id and digest. Rows are moved once, dealt out by these two, so that the
-    copies of a text with very many of them go to different tasks and repeated rows meet.
+    copies of a text with very many of them go to different tasks and repeated rows meet. Other columns come
+    through, whatever they are called; an empty table gives an empty result.
     """
     key = ["_id_text", "_no_id", "_digest"]
 
@@ -75,5 +76,5 @@ def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     stay = duplicate_groups(docs, id_column, text_column).filter("kept")
     stay = stay.select(*keyed(stay, F.col("text_sha256"))).distinct()
-    marked = docs.select("*", *keyed(docs, sha256(normalised(F.col(text_column)))))
-    return marked.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)
+    marked = docs.select(F.struct("*").alias("row"), *keyed(docs, sha256(normalised(F.col(text_column)))))
+    return marked.join(stay, key, "left_semi").dropDuplicates(key).select("row.*")

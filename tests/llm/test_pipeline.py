@@ -64,7 +64,23 @@ def test_rows_that_are_odd(spark, store):
     assert near_duplicates(docs, store).count() == 7
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+def test_near_copies_with_shared_or_no_ids_and_clashing_names(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (3, 50, 120)]
+    far = [" ".join(f"{c}{k}" for k in range(50)) for c in "xyz"]
+    rows = [(7, near[0]), (7, near[1]), (None, near[2]), (None, far[0]), (None, far[0] + " more"), (8, far[1]), (8, far[2]), (9, None), (None, "")]
+    rows = [(*r, "a", 1, 2, b"x") for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string, _named int, _digest int, row binary")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    left = [tuple(r) for r in kept.collect()]
+    assert set(left) <= set(rows) and len(left) == 6
+    assert sorted(r[0] for r in left if r[0] is not None) == [7, 8, 8, 9]
+    assert [r[1] in (far[0], far[0] + " more", "") for r in left if r[0] is None] == [True, True]
+    assert corpus_pipeline.drop_copies(spark, docs.withColumnRenamed("row", "_no_id"), SMALL).count() == 8
+
+
+@pytest.mark.parametrize("number", range(1, 14))
 def test_every_operator_is_registered(number):
     names = [n for n in driver.queries() if n.startswith(f"op{number}_")]
-    assert len(names) == 1 and np.isin(names, list(driver.oracle_sql())).any() == (number in (1, 2, 9))
+    assert len(names) == 1 and np.isin(names, list(driver.oracle_sql())).any() == (number in (1, 2, 9, 12, 13))
