@@ -56,7 +56,7 @@ def main() -> None:
     shop = shop_from(spark, folder)
     for name in shop:
         shop[name]
-    for name in (*FEEDS, "lms_faulty_orders", "lms_faulty_users", "lms_faulty_categories", "lms_faulty_notifications"):
+    for name in (*FEEDS, "lms_faulty_orders", "lms_faulty_users", "lms_faulty_categories", "lms_faulty_payments", "lms_faulty_notifications"):
         derived(spark, folder, name)
     setup = time.time() - start
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from coursemill import Shop, Store
 from coursemill.schema import TABLES
 from coursemill.session import ADAPTIVE, apply_settings
+from coursemill.sources import read_table
 from coursemill.store import shared_root
 
 DRIVER_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
@@ -45,14 +46,18 @@ DEFINITIONS: dict[str, str] = {
           p_size % 10 <> 0 as is_published, {epoch} as created_at
         from part join lms_categories k on k.name=p_type""",
     "lms_chapters": """
-        select id*2+1 as id, id as course_id, 'Chapter 1' as title, cast(1 as bigint) as sort_order, created_at
+        select id*2+1 as id, id as course_id, 'Chapter 1' as title, concat('Start of ', title) as description,
+          cast(1 as bigint) as sort_order, created_at
         from lms_courses
         union all
-        select id*2+2, id, 'Chapter 2', cast(2 as bigint), created_at from lms_courses""",
+        select id*2+2, id, 'Chapter 2', cast(null as varchar(10)), cast(2 as bigint), created_at from lms_courses""",
     "lms_lessons": """
-        select id, chapter_id, title,
-          case when id % 50 = 0 then 0 when chapter_order=1 and sort_order=1 then 15 when chapter_order=1 then 20
-            when sort_order=1 then 35 else 40 end as duration_minutes,
+        select id, chapter_id, title, case when id % 4 > 0 then concat('Text of ', title, ', "', cast(id as varchar(20)), '"') end as content,
+          case id % 7 when 0 then 'not an address' when 1 then '' when 2 then null when 3 then 'https://'
+            when 4 then concat('HTTP://video.example.com:80/?v=', cast(id as varchar(20)))
+            else concat('https://video.example.com/', cast(id as varchar(20))) end as video_url,
+          cast(case when id % 50 = 0 then 0 when chapter_order=1 and sort_order=1 then 15 when chapter_order=1 then 20
+            when sort_order=1 then 35 else 40 end as bigint) as duration_minutes,
           sort_order, (chapter_order=1 and sort_order=1) as is_free_preview, created_at
         from (
           select id*2+1 as id, id as chapter_id, concat(cast(sort_order as varchar(20)),'-1') as title,
@@ -292,6 +297,28 @@ DEFINITIONS: dict[str, str] = {
     "lms_faulty_categories": """
         select p_partkey as id, case when p_size % 2 = 0 then lower(p_type) else concat(p_type, ' ', p_brand) end as name
         from part""",
+    "lms_faulty_payments": """
+        select p.id, p.order_id, case when r.o_orderpriority='1-URGENT' then 'cheque' else p.method end as method,
+          case when r.o_orderpriority='2-HIGH' then -1 - p.amount else p.amount end as amount,
+          case when p.id % 5 = 2 then concat(p.status, ' as ', r.o_orderpriority) else p.status end as status,
+          case when p.id % 6 = 1 then concat(repeat('T', 100), cast(p.id as varchar(20))) else p.transaction_no end
+            as transaction_no,
+          p.paid_at, case when p.id % 8 = 5 then null else p.created_at end as created_at
+        from lms_payments p join orders r on r.o_orderkey=p.id""",
+    "lms_repeated_carts": """
+        select id, user_id, created_at, updated_at from lms_carts
+        union all
+        select 1000000000 + o_custkey, o_custkey*2, min(o_orderdate), max(o_orderdate)
+        from orders where o_orderstatus='O' group by o_custkey""",
+    "lms_repeated_profiles": """
+        select id, user_id, role from lms_profiles
+        union all
+        select 1000000000 + id, id, 'teacher' from lms_users where id % 10 = 4""",
+    "lms_repeated_coupon_usages": """
+        select id, user_id, coupon_id, order_id, discount_amount, used_at from lms_coupon_usages
+        union all
+        select 1000000000 + id, user_id, coupon_id, order_id, discount_amount, used_at from lms_coupon_usages
+        where id % 3 = 1""",
     "lms_faulty_notifications": """
         select doc.conv_id*1000+doc.turn as id, doc.conv_id*2 as user_id, doc.text as title, doc.text as content,
           false as is_read, cast(null as {time}) as created_at
@@ -330,6 +357,12 @@ _written: dict[tuple[str, str], dict[str, tuple[str, StructType]]] = {}
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived table, written once per session and input folder and read back from there."""
+    path, schema = _path(spark, folder, name)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _path(spark: SparkSession, folder: str, name: str) -> tuple[str, StructType]:
+    """Where a derived table is written, and its columns."""
     paths = _written.setdefault((spark.sparkContext.applicationId, folder), {})
     if name not in paths:
         sql = DEFINITIONS[name]
@@ -349,11 +382,10 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
         path = Store(spark, f"{shared_root(spark)}/derived").fresh_path(name)
         df.write.parquet(path)
         paths[name] = path, df.schema
-    path, schema = paths[name]
-    return spark.read.schema(schema).parquet(path)
+    return paths[name]
 
 
 def shop_from(spark: SparkSession, folder: str) -> Shop:
-    """The shop over the driver's tables in ``folder``."""
+    """The shop over the driver's tables in ``folder``, read back in its declared columns."""
     apply_settings(spark, ADAPTIVE)
-    return Shop(lambda name: derived(spark, folder, f"lms_{name}"), tuple(TABLES))
+    return Shop(lambda name: read_table(spark, name, _path(spark, folder, f"lms_{name}")[0]), tuple(TABLES))

@@ -225,6 +225,13 @@ def _curriculum(lessons: int) -> str:
 
 
 CATALOG = {
+    "source_column_counts": _union(
+        [
+            f"select '{t}' as table_name, column_name, n_values from ("
+            f"unpivot (select count(COLUMNS(*)) as '\\0' from lms_{t}) on * into name column_name value n_values) u"
+            for t in TABLES
+        ]
+    ),
     "source_row_counts": _union([f"select '{t}' as table_name, count(*) as n from lms_{t}" for t in TABLES]),
     "catalog": f"""
         select c.id as course_id, c.title, {_case('c.level', LEVEL)} as level_label, k.name as category, c.description,
@@ -368,6 +375,16 @@ EXPORTS["export_row_counts"] = _union(
 )
 EXPORTS["export_csv_files"] = EXPORTS["export_row_counts"]
 
+# A cell as text: True/False, UTC times with six decimals unless they are zero, '' for null.
+_CELL = """coalesce(case typeof(COLUMNS(*))
+    when 'BOOLEAN' then case cast(COLUMNS(*) as varchar) when 'true' then 'True' when 'false' then 'False' end
+    when 'TIMESTAMP' then case when contains(cast(COLUMNS(*) as varchar), '.') then rpad(cast(COLUMNS(*) as varchar), 26, '0')
+      else cast(COLUMNS(*) as varchar) end || '+00:00'
+    else cast(COLUMNS(*) as varchar) end, '')"""
+for _name in [name for name in EXPORTS if name not in ("export_row_counts", "export_csv_files")]:
+    EXPORTS[_name.replace("export_", "csv_", 1)] = f"select {_CELL} from ({EXPORTS[_name]}) cells"
+
+
 def _fresh(table: str, order: str) -> str:
     """Ids of new rows: the table's highest plus the number in ``order``."""
     return f"cast((select coalesce(max(id),0) from lms_{table}) + row_number() over (order by {order}) as bigint)"
@@ -692,12 +709,15 @@ def _violations(rule: str, checks: list[tuple[str, str, str, str]]) -> str:
     )
 
 
+_FAULTY = {t: f"lms_faulty_{t}" for t in ("orders", "users", "categories", "payments", "notifications")}
+
+
 def _both(tables: str) -> list[tuple[str, str]]:
     """A table's sound rows and, where there are some, its faulty ones."""
     found = []
     for t in tables.split():
         found.append((t, f"lms_{t}"))
-        if t in ("orders", "users", "categories", "notifications"):
+        if t in _FAULTY:
             found.append((t, f"lms_faulty_{t}"))
     return found
 
@@ -733,7 +753,7 @@ _LENGTHS = {
     "categories": "name:100",
     "courses": "title:200 image:100 level:20",
     "chapters": "title:200",
-    "lessons": "title:200",
+    "lessons": "title:200 video_url:200",
     "coupons": "code:50 name:100 discount_type:20",
     "user_coupons": "status:20",
     "promotions": "name:100 discount_type:20",
@@ -830,8 +850,6 @@ def _dangling(faulty: dict[str, str], tables: list[str]) -> list[str]:
     return parts
 
 
-_FAULTY = {t: f"lms_faulty_{t}" for t in ("orders", "users", "categories", "notifications")}
-
 QUALITY = {
     "dq_choices": _violations(
         "choices",
@@ -869,6 +887,9 @@ QUALITY = {
         [
             (t, source, "email", "email <> '' and not regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')")
             for t, source in _both("users")
+        ]
+        + [
+            ("lessons", "lms_lessons", "video_url", "video_url <> '' and not regexp_matches(video_url, '^(?i:https?|ftps?)://[^\\s/?#]+\\S*$')")
         ],
     ),
     "dq_order_arithmetic": _violations(
@@ -907,12 +928,14 @@ QUALITY = {
         [
             ("profiles", "lms_profiles", "user_id"),
             ("carts", "lms_carts", "user_id"),
-            ("carts", "lms_orders", "user_id"),
             ("coupon_usages", "lms_coupon_usages", "order_id"),
+            ("profiles", "lms_repeated_profiles", "user_id"),
+            ("carts", "lms_repeated_carts", "user_id"),
+            ("coupon_usages", "lms_repeated_coupon_usages", "order_id"),
         ],
     ),
     "dq_foreign_keys": _union(
-        _dangling({}, list(_FOREIGN)) + _dangling(_FAULTY, ["orders", "order_items", "notifications"])
+        _dangling({}, list(_FOREIGN)) + _dangling(_FAULTY, ["orders", "order_items", "notifications", "courses", "enrollments", "refunds"])
     ),
 }
 

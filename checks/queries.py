@@ -17,9 +17,9 @@ from coursemill.operators.merging import insert_if_absent, set_difference_plan
 from coursemill.operators.unions import union_all
 from coursemill.plans import accounts, activity, catalog, charts, checkout, exports, metrics
 from coursemill.schema import TABLES
-from coursemill.sinks import write_exports
+from coursemill.sinks import write_csv, write_exports
 from coursemill.sources import read_feed
-from coursemill.sources.readers import row_counts
+from coursemill.sources.readers import CSV_OPTIONS, column_counts, row_counts
 from coursemill.streaming import review_feed, reviews_after, watch_feed, watch_totals
 
 from .derive import derived, shop_from
@@ -154,7 +154,7 @@ def _sign_ups(part: int) -> Query:
 def _faulty(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {
         name: derived(spark, folder, f"lms_faulty_{name}")
-        for name in ("orders", "users", "categories", "notifications")
+        for name in ("orders", "users", "categories", "payments", "notifications")
     }
 
 
@@ -170,7 +170,7 @@ def _row_rule(rule: str) -> Query:
 
 
 def _key_rule(rule: str) -> Query:
-    """Uniqueness rules; feeds with repeated keys stand in for tables."""
+    """Uniqueness rules over the sound tables and some in which keys repeat."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         shop = shop_from(spark, folder)
@@ -178,18 +178,22 @@ def _key_rule(rule: str) -> Query:
         submissions = derived(spark, folder, "lms_review_submissions")
         tables = [(n, shop[n]) for n in shop]
         tables += [("users", faulty["users"]), ("categories", faulty["categories"]), ("reviews", submissions)]
-        tables += [("carts", shop["orders"])]
+        if rule == "one_to_one":
+            tables += [(n, derived(spark, folder, f"lms_repeated_{n}")) for n in ("profiles", "carts", "coupon_usages")]
         return union_all([f for n, df in tables for f in quality.unique_violations(n, df, [rule])])
 
     return run
 
 
+#: Tables whose keys are looked up among the faulty tables as well.
+FAULTY_KEYS = ("orders", "order_items", "notifications", "courses", "enrollments", "refunds")
+
+
 def _foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
-    shop = shop_from(spark, folder)
+    shop, store = shop_from(spark, folder), Store(spark)
     faulty = shop.replace(**_faulty(spark, folder))
-    frames = [f for n in shop for f in quality.key_violations(shop, n)]
-    frames += [f for n in ("orders", "order_items", "notifications") for f in quality.key_violations(faulty, n)]
-    return union_all(frames)
+    sound = quality.foreign_key_violations(shop, store)
+    return sound.unionAll(quality.foreign_key_violations(faulty, store, FAULTY_KEYS))
 
 
 def _csv_exports(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,6 +210,20 @@ def _csv_exports(spark: SparkSession, folder: str) -> DataFrame:
     return union_all(frames)
 
 
+def _csv_cells(name: str) -> Query:
+    """One export written, and every cell of its files read back as text."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        export = exports.EXPORTS[name](shop_from(spark, folder))
+        path = Store(spark).fresh_path(f"csv-{name}")
+        write_csv(export, path)
+        names = [f"{c} string" for c in export.columns]
+        cells = spark.read.options(**CSV_OPTIONS).schema(", ".join(names)).csv(path)
+        return cells.select(*[F.coalesce(c, F.lit("")).alias(c) for c in export.columns])
+
+    return run
+
+
 def _event_stream(spark: SparkSession, folder: str, store: Store) -> DataFrame:
     """The events in several files, each a micro-batch of its own."""
     events = spark.read.parquet(f"{folder}/events.parquet")
@@ -266,6 +284,7 @@ def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "course_scorecard": _on_shop(metrics.course_scorecard),
         "source_row_counts": _on_shop(row_counts),
+        "source_column_counts": _on_shop(column_counts),
         # catalogue and course pages
         "catalog": _on_shop(catalog.catalog),
         "catalog_count": _on_shop(catalog.catalog_count),
@@ -364,6 +383,7 @@ def all_queries() -> dict[str, Query]:
     }
     for name, build in exports.EXPORTS.items():
         found[f"export_{name}"] = _on_shop(build)
+        found[f"csv_{name}"] = _csv_cells(name)
     for name in LISTINGS:
         found[f"browse_{name}"] = _browse(name)
     for name in TABLES:

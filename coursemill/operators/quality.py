@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import WHITESPACE
 from ..schema import Table, table
 from ..shop import Shop
+from ..store import Store
 from .unions import union_all
 
 # Deliberately simple shapes: something@host.tld, and a web or ftp address with a host.
@@ -116,36 +117,66 @@ def unique_violations(
     ]
 
 
-def dangling_keys(name: str, df: DataFrame, key: str, parent: DataFrame) -> DataFrame:
-    """Rows whose foreign key names no parent.
+VIOLATION = "rule string, table_name string, column_name string, id bigint"
 
-    Distinct key values are tested, not rows, so a hot parent is looked up once; the few
-    dangling values then select their rows.
-    """
-    values = df.select(F.col(key).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
-    dangling = values.join(parent.select(F.col("id").alias("_value")), "_value", "left_anti")
-    return _with_id(df).join(dangling, F.col(key) == F.col("_value"), "left_semi").select(
-        F.lit("foreign_keys").alias("rule"),
-        F.lit(name).alias("table_name"),
-        F.lit(key).alias("column_name"),
-        F.col("id"),
-    )
 
+def _key_values(df: DataFrame, keys: Sequence[tuple[int, str]], *more: str) -> DataFrame:
+    """One row per foreign key that is not null: its number, its value, and the columns ``more``."""
+    pairs = [f"named_struct('key', {n}, 'value', cast({c} as bigint))" for n, c in keys]
+    return df.selectExpr(*more, f"inline(array({', '.join(pairs)}))").filter("value is not null")
 
-def key_violations(shop: Shop, name: str) -> list[DataFrame]:
-    df = shop[name]
-    return [
-        dangling_keys(name, df, c.name, shop[c.refers_to])
-        for c in table(name).foreign_keys
-        if c.name in df.columns
-    ]
 
+def foreign_key_violations(shop: Shop, store: Store, names: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the named tables, or of all, with a foreign key that names no parent.
 
-def validate(shop: Shop, names: Sequence[str] | None = None) -> DataFrame:
+    Every table is read once for the values of all its keys. Equal values are put together before the only
+    exchange, so a hot parent costs one row per task, and the values of all tables meet the ids of all parents in
+    one join. The values that dangle are written; only tables that hold one are read again, to find the rows, and
+    the written files tell their size, by which they are broadcast or not.
+    """
+    keys: dict[int, tuple[str, str, str]] = {}
+    for name in names or list(shop):
+        for c in table(name).foreign_keys:
+            if c.name in shop[name].columns:
+                keys[len(keys)] = name, c.name, c.refers_to
+    nothing = store.spark.createDataFrame([], VIOLATION)
+    if not keys:
+        return nothing
+
+    def of(name: str, among: Iterable[int]) -> list[tuple[int, str]]:
+        return [(n, keys[n][1]) for n in among if keys[n][0] == name]
+
+    children = dict.fromkeys(name for name, _, _ in keys.values())
+    parents = {name: i for i, name in enumerate(dict.fromkeys(parent for _, _, parent in keys.values()))}
+    parent_of = F.element_at(F.array(*[F.lit(parents[parent]) for _, _, parent in keys.values()]), F.col("key") + 1)
+    values = union_all([_key_values(shop[name], of(name, keys)) for name in children])
+    ids = union_all([shop[p].selectExpr(f"{i} as parent", "cast(id as bigint) as value") for p, i in parents.items()])
+    dangling = values.distinct().withColumn("parent", parent_of).join(ids, ["parent", "value"], "left_anti")
+    found = store.keep(dangling.select("key", "value"), "dangling")
+    # At most one row per declared foreign key.
+    broken = sorted(r.key for r in found.select("key").distinct().collect())
+    frames = [nothing]
+    for name in dict.fromkeys(keys[n][0] for n in broken):
+        own = of(name, broken)
+        rows = _key_values(_with_id(shop[name]), own, "id")
+        labels = F.create_map(*[F.lit(v) for pair in own for v in pair])
+        frames.append(
+            rows.join(found.filter(F.col("key").isin([n for n, _ in own])), ["key", "value"], "left_semi").select(
+                F.lit("foreign_keys").alias("rule"),
+                F.lit(name).alias("table_name"),
+                labels[F.col("key")].alias("column_name"),
+                F.col("id").cast("bigint").alias("id"),
+            )
+        )
+    return union_all(frames)
+
+
+def validate(shop: Shop, names: Sequence[str] | None = None, store: Store | None = None) -> DataFrame:
     """Every violation of every rule in the named tables, or in all."""
     frames: list[DataFrame] = []
-    for name in names or list(shop):
+    names = names or list(shop)
+    for name in names:
         df = shop[name]
-        frames += [*absent_columns(name, df), *row_violations(name, df)]
-        frames += [*unique_violations(name, df), *key_violations(shop, name)]
-    return union_all(frames)
+        frames += [*absent_columns(name, df), *row_violations(name, df), *unique_violations(name, df)]
+    store = store or Store(shop[names[0]].sparkSession)
+    return union_all([*frames, foreign_key_violations(shop, store, names)])

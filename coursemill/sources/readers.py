@@ -71,3 +71,34 @@ def row_counts(shop: Shop) -> DataFrame:
         if name in TABLES
     ]
     return union_all(counts)
+
+
+def column_counts(shop: Shop) -> DataFrame:
+    """Values that are not null in every column of every table: one aggregation per table, map-side combined."""
+    counts = []
+    for name in shop:
+        columns = shop[name].columns
+        totals = shop[name].agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)])
+        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_values")) for i, c in enumerate(columns)]
+        counts.append(totals.select(F.lit(name).alias("table_name"), F.inline(F.array(*pairs))))
+    return union_all(counts)
+
+
+def column_findings(spark: SparkSession, name: str, path: str, file_format: str = "parquet") -> list[tuple[str, str]]:
+    """How the files of a table depart from its declared columns, from their schema alone, before any row is read.
+
+    (column, finding) pairs: ``absent`` (declared, not in the files), ``extra`` (in the files, not declared) and
+    ``is <type>, declared <type>``. Columns of csv files are named by the header and have no types.
+    """
+    if file_format == "csv":
+        found = spark.read.options(**CSV_OPTIONS).csv(path).schema
+    else:
+        found = spark.read.format(file_format).load(path).schema
+    declared = {c.name: c.spark_type for c in table(name).columns}
+    there = {f.name: f.dataType for f in found.fields}
+    findings = [(c, "absent") for c in declared if c not in there]
+    findings += [(c, "extra") for c in there if c not in declared]
+    for c, kind in declared.items():
+        if file_format != "csv" and c in there and there[c] != kind:
+            findings.append((c, f"is {there[c].simpleString()}, declared {kind.simpleString()}"))
+    return sorted(findings)
