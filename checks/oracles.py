@@ -632,7 +632,9 @@ WRITES = {
     "stream_watch_minutes": f"""
         select user_id, course_id, cast(sum(minutes) as bigint) as watch_minutes from ({_WATCHED.format(id='w.id')}) w group by 1, 2""",
     "stream_review_upsert": _REVIEWS_AFTER,
+    "stream_review_compacted": _REVIEWS_AFTER,
 }
+WRITES["stream_watch_compacted"] = WRITES["stream_watch_minutes"]
 
 # --- cascading deletes ------------------------------------------------------------------
 _DEAD = {

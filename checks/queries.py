@@ -232,7 +232,7 @@ def _event_stream(spark: SparkSession, folder: str, store: Store) -> DataFrame:
     return read_feed(spark, events.schema, arriving, per_batch=1)
 
 
-def _stream_watch(spark: SparkSession, folder: str) -> DataFrame:
+def _stream_watch(spark: SparkSession, folder: str, compact_after: int | None = None) -> DataFrame:
     shop, store = shop_from(spark, folder), Store(spark)
     n_courses = derived(spark, folder, "lms_courses").agg(F.count(F.lit(1))).scalar()
     first = shop["enrollments"].groupBy("student_id").agg(F.min("course_id").alias("_first"))
@@ -248,11 +248,11 @@ def _stream_watch(spark: SparkSession, folder: str) -> DataFrame:
         .select("id", "user_id", "course_id", "watched_at")
     )
     out = store.fresh_path("watch-minutes")
-    watch_feed(shop, requests, out, store.fresh_path("watch-progress")).awaitTermination()
+    watch_feed(shop, requests, out, store.fresh_path("watch-progress"), compact_after).awaitTermination()
     return watch_totals(spark, out)
 
 
-def _stream_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def _stream_reviews(spark: SparkSession, folder: str, compact_after: int | None = None) -> DataFrame:
     shop, store = shop_from(spark, folder), Store(spark)
     n_courses = derived(spark, folder, "lms_courses").agg(F.count(F.lit(1))).scalar()
     first = shop["enrollments"].groupBy("student_id").agg(F.min("course_id").alias("_first"))
@@ -271,7 +271,7 @@ def _stream_reviews(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     out = store.fresh_path("review-batches")
-    review_feed(shop, submissions, out, store.fresh_path("review-progress")).awaitTermination()
+    review_feed(shop, submissions, out, store.fresh_path("review-progress"), compact_after).awaitTermination()
     return reviews_after(shop, spark, store, out)
 
 
@@ -375,6 +375,8 @@ def all_queries() -> dict[str, Query]:
         # streams
         "stream_watch_minutes": _stream_watch,
         "stream_review_upsert": _stream_reviews,
+        "stream_watch_compacted": lambda spark, folder: _stream_watch(spark, folder, compact_after=3),
+        "stream_review_compacted": lambda spark, folder: _stream_reviews(spark, folder, compact_after=2),
         # quality
         "dq_foreign_keys": _foreign_keys,
         # list pages

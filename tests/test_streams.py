@@ -11,6 +11,7 @@ from coursemill import Shop
 from coursemill.plans import activity
 from coursemill.sources import read_feed
 from coursemill.streaming import compact_reviews, compact_watched, review_feed, reviews_after, watch_feed, watch_totals
+from coursemill.streaming.manifest import batch_name, live_folders, versions
 from tests.conftest import SMALL
 from tests.test_operators import plain
 
@@ -68,3 +69,37 @@ def test_merging_in_steps_equals_merging_at_once_when_times_are_equal(spark):
     rest = submitted.filter("first_id in (5, 7)")
     assert plain(activity.merge_submissions(first.unionByName(rest))) == at_once
     assert plain(activity.merge_submissions(rest.unionByName(first))) == at_once
+
+
+def names(folders):
+    return [f.rsplit("/", 1)[-1] for f in folders]
+
+
+def test_compaction_between_batches_changes_no_figure_and_survives_repeats(spark, store, shop):
+    requests = derived(spark, SMALL, "lms_watch_requests")
+    want = activity.watched(shop, requests).groupBy("user_id", "course_id").agg(F.sum("minutes").alias("watch_minutes"))
+    out, feed = store.fresh_path("out"), arriving(spark, store, requests)
+    watch_feed(shop, feed, out, store.fresh_path("progress"), compact_after=2).awaitTermination()
+    assert names(live_folders(spark, [out])) == ["through_id=3", "batch_id=4"]
+    assert plain(watch_totals(spark, out)) == plain(want)
+
+    # Five batches and two compactions; whoever reads by the version before a compaction sees the figures of the one after.
+    assert sorted(r.version for r in versions(spark, out).collect()) == [1, 2, 3, 4, 5, 6, 7]
+    for before, after in ((2, 3), (5, 6)):
+        old, new = (live_folders(spark, [out], v) for v in (before, after))
+        assert len(old) > 1 and len(new) == 1
+        assert plain(watch_totals(spark, *old)) == plain(watch_totals(spark, *new)) and not watch_totals(spark, *new).isEmpty()
+
+    # A batch or a compaction that was written but not committed does not count.
+    for left in (batch_name(5), "through_id=4"):
+        spark.sql("select 1L as user_id, 1L as course_id, 999L as watch_minutes").write.parquet(f"{out}/{left}")
+    assert plain(watch_totals(spark, out)) == plain(want)
+
+    # All batches once more, as after a lost checkpoint: those inside the compacted folder count once, too.
+    watch_feed(shop, feed, out, store.fresh_path("progress"), compact_after=2).awaitTermination()
+    assert plain(watch_totals(spark, out)) == plain(want) and versions(spark, out).count() == 7
+
+    # The rest is compacted when asked for earlier, and takes the place of what was left there.
+    watch_feed(shop, feed, out, store.fresh_path("progress"), compact_after=1).awaitTermination()
+    assert names(live_folders(spark, [out])) == ["through_id=4"]
+    assert plain(watch_totals(spark, out)) == plain(want)
