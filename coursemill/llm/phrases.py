@@ -28,7 +28,7 @@ from coursemill.operators.numbering import first_n
 from coursemill.store import Store
 
 from .chunks import dictionary, pack_rows, unpack_rows, write_chunks
-from .common import mix, powers, ship, text_bytes
+from .common import mix, powers, release, ship, text_bytes
 
 LONGEST, LEAST, BEST, COVERED = 5, 100, 2000, 100
 #: Orders (words of a phrase) that are counted together.
@@ -90,15 +90,21 @@ def phrases_of(langs: pa.Array, texts: pa.Array) -> Phrases:
     places = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(lengths + 1, out=places[1:])
     joined = np.full(places[-1], 0x20, np.uint8)
-    joined[np.arange(lengths.sum()) + np.repeat(np.arange(len(starts)), lengths)] = low[inside]
+    words = np.ones(len(joined), bool)
+    words[places[1:] - 1] = False
+    joined[words] = low[inside]
+    # In place: an array of 8 bytes a character is the largest a chunk needs.
     sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers(len(joined) + 1)[0][:-1], out=sums[1:])
+    sums[1:] = joined
+    sums[1:] += np.uint64(1)
+    sums[1:] *= powers(len(joined) + 1)[0][:-1]
+    np.cumsum(sums[1:], out=sums[1:])
     coded = langs.dictionary_encode()
     names = coded.dictionary.to_pylist()
     return Phrases(
         joined,
         places,
-        np.cumsum(kind == 2, dtype=np.int64)[starts] + text,  # grows with both, so it is equal where both are
+        np.searchsorted(np.flatnonzero(kind == 2), starts) + text,  # grows with both, so it is equal where both are
         coded.indices.to_numpy(zero_copy_only=False)[text],
         names,
         dictionary(low, starts, ends)[0],
@@ -183,6 +189,7 @@ def _replayed(row: dict, buckets: int, done: tuple) -> tuple[Phrases, list]:
 def _deal(buckets: int, done: tuple, orders: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            release()
             found, rounds = _replayed(row, buckets, done)
             values, counts = _different(np.concatenate([v for _, _, v in _candidates(found, rounds, orders)]))
             bounds = _bounds(values, buckets)
@@ -203,6 +210,7 @@ def _meet(least: int):
     """Adds up the fingerprints of a bucket; one bit for each of a chunk's, for chunks that have a frequent one."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         parts = [_unpack(x) for x in table.column("packed").to_pylist()]
         values = np.concatenate([v for v, _ in parts])
         order = np.argsort(values)
@@ -256,6 +264,7 @@ def _write(buckets: int, done: tuple):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            release()
             found, rounds = _replayed(row, buckets, done)
             words = np.bincount(found.lang, minlength=len(found.langs)).tolist()
             rows = [(0, lang, 0, b"", count) for lang, count in zip(found.langs, words)]
@@ -281,6 +290,7 @@ def _add_up(least: int):
     """Counts of a bucket's phrases over all chunks, by their words; those that are too rare go."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         rows = pa.Table.from_batches([unpack_rows(x) for x in table.column("packed").to_pylist()])
         total = rows.group_by(["lang", "n_words", "phrase"]).aggregate([("a", "sum")])
         total = total.filter((pc.field("n_words") == 0) | (pc.field("a_sum") >= least))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -108,3 +109,16 @@ def test_counts_beyond_64_bits_stay_exact(spark):
 
 def test_empty_table(spark, store):
     assert collocations(spark.createDataFrame([], "lang string, text string"), store).collect() == []
+
+
+def test_words_of_a_chunk_take_bounded_memory():
+    """Peak bytes per byte of text, without the powers, which a worker keeps."""
+    langs, texts = pa.array(["en"] * 64), pa.array(["some words, and others that follow. " * 455] * 64)
+    phrases_of(langs, texts)
+    tracemalloc.start()
+    try:
+        phrases_of(langs, texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 33 * sum(map(len, texts.to_pylist()))
