@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, text_bytes
+from .common import pieces, release, ship, text_bytes
 from .piece_models import model
 
 
@@ -33,6 +33,7 @@ def encode(
         codec = model(serialized)
         for piece in (p for b in batches for p in pieces(b)):
             codec.trim()
+            release()
             ids, places = codec.encode_all(piece.column(1))
             lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["_id", "ids"])
@@ -82,6 +83,7 @@ def round_trip(
         codec = model(serialized)
         for piece in (p for b in batches for p in pieces(b)):
             codec.trim()
+            release()
             ids, places = codec.encode_all(piece.column(1))
             raw, at = ids.astype("<i4").tobytes(), (places * 4).tolist()
             wrote, began = codec.decode_all(ids, places)
