@@ -12,6 +12,7 @@ from coursemill import Shop
 from coursemill.operators.browse import LISTINGS, browse, search_words
 from coursemill.operators.cascade import Deletion, delete_courses
 from coursemill.operators.merging import insert_if_absent, set_difference_plan
+from coursemill.operators import quality
 from coursemill.operators.quality import foreign_key_violations, validate
 from coursemill.plans import activity, catalog, charts, metrics
 from coursemill.schema import TABLES
@@ -203,6 +204,30 @@ def test_dangling_keys_of_all_tables_are_found_by_one_scan_of_each(spark, store)
     assert foreign_key_violations(Shop.of(users=users), store).isEmpty()
 
 
+def test_key_values_are_put_together_before_the_only_exchange(spark):
+    """An anti-join below a distinct would send every row's key values; equal ones are to meet within each task first."""
+    ids = [(p, v) for p in (0, 1) for v in (1, 2, 2, None)]
+    values = [(p, v, bit) for p in (0, 1) for v in (1, 2, 3, 4) for bit in (1, 2, quality.MOST_KEYS) if v + bit != 5] * 50
+    found = quality._dangling(
+        [spark.createDataFrame(ids, "parent int, value bigint")],
+        [spark.createDataFrame(values[::2], "parent int, value bigint, bit int"), spark.createDataFrame(values[1::2], "parent int, value bigint, bit int")],
+    )
+    assert sorted(map(tuple, found.collect())) == sorted({x for x in values if x[:2] not in ids})
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "partial_bit_or" in plan.split("Exchange")[1]
+
+
+def test_more_keys_to_one_parent_than_a_long_has_bits(spark, store, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_KEYS", 1)
+    users = spark.createDataFrame([(1,)], "id bigint")
+    rows = spark.createDataFrame([(1, 1, 1, 1), (2, 7, 1, None), (3, 1, 8, 9)], "id bigint, order_id bigint, user_id bigint, coupon_id bigint")
+    one = spark.createDataFrame([(1,)], "id bigint")
+    shop = Shop.of(users=users, orders=one, coupons=one, coupon_usages=rows, refunds=rows.drop("coupon_id"))
+    found = foreign_key_violations(shop, store, ["coupon_usages", "refunds"])
+    want = {(t, c, i) for t in ("coupon_usages", "refunds") for c, i in (("order_id", 2), ("user_id", 3))}
+    assert {(r.table_name, r.column_name, r.id) for r in found.collect()} == want | {("coupon_usages", "coupon_id", 3)}
+
+
 # --- figures ----------------------------------------------------------------------------
 def test_course_figures_add_up_to_teacher_figures(shop):
     by_course = metrics.course_scorecard(shop).groupBy("teacher_id").agg(
