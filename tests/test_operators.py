@@ -228,6 +228,28 @@ def test_more_keys_to_one_parent_than_a_long_has_bits(spark, store, monkeypatch)
     assert {(r.table_name, r.column_name, r.id) for r in found.collect()} == want | {("coupon_usages", "coupon_id", 3)}
 
 
+def test_tables_without_the_rule_are_not_derived(spark, monkeypatch):
+    from checks import derive
+    from checks.queries import all_queries
+
+    monkeypatch.setattr(derive, "_written", {})
+    all_queries()["dq_max_length"](spark, "/root/testdata/sf0.001")
+    (written,) = derive._written.values()
+    assert "lms_faulty_users" in written and "lms_orders" in written
+    assert not {"lms_enrollments", "lms_learning_records", "lms_cart_items", "lms_coupon_usages"} & set(written)
+
+
+def test_rules_of_each_table(spark):
+    """``concerned`` leaves out no table that a rule looks at."""
+    from coursemill.schema import TABLES, table
+
+    for name in TABLES:
+        df = spark.createDataFrame([], table(name).struct)
+        for rule in (*quality.ROW_RULES, *quality.UNIQUE_RULES):
+            looked_at = quality.row_violations(name, df, [rule]) or quality.unique_violations(name, df, [rule])
+            assert quality.concerned([name], [rule]) == ([name] if looked_at else [])
+
+
 # --- figures ----------------------------------------------------------------------------
 def test_course_figures_add_up_to_teacher_figures(shop):
     by_course = metrics.course_scorecard(shop).groupBy("teacher_id").agg(
