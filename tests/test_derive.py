@@ -37,3 +37,8 @@ def test_requests_keep_the_meaning_of_not_in(spark, students):
         rows = spark.sql(f"select user_id {text}", **tables).collect()
         found.append(sorted((r[0] is None, r[0] or 0) for r in rows))
     assert found[0] == found[1]
+
+
+def test_derived_tables_are_written_compressed(spark):
+    files = derive.derived(spark, SMALL, "lms_order_items").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
