@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release, ship, text_bytes
+from .common import keep_only, pieces, release, ship, text_bytes
 from .piece_models import model
 
 
@@ -30,6 +30,7 @@ def encode(
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("pieces")
         codec = model(serialized)
         for piece in (p for b in batches for p in pieces(b)):
             codec.trim()

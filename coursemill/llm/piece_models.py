@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ranges, text_bytes
+from .common import ranges, remembered, text_bytes
 
 #: Fixed values of the SentencePiece format: the sign for a blank, model and piece types, the penalty of unknowns.
 BLANK = "▁"
@@ -287,7 +287,7 @@ class PieceModel:
         return np.concatenate(table)
 
 
-def model(serialized: bytes, _kept: dict[int, PieceModel] = {}) -> PieceModel:
+def model(serialized: bytes, _kept: dict[int, PieceModel] = remembered("pieces")) -> PieceModel:
     """The model of these bytes, made once in a worker."""
     key = hash(serialized)
     if key not in _kept:

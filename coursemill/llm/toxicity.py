@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, held_out, pieces, ship, text_bytes, words_of
+from .common import Words, held_out, keep_only, pieces, release, ship, text_bytes, words_of
 from .gru import WORD_DIM, Adam, Params, forward, gradient, logits, new_params, project, sigmoid, spelling, trigrams
 
 #: Words of a window, words from one window to the next: any passage of 16 words lies whole in a window.
@@ -27,8 +27,8 @@ STEPS, RENEWED, BATCH, RATE, SEED = 240, 60, 96, 0.01, 7
 #: ``STEPS`` batches are learned; the windows are chosen anew after each ``RENEWED``.
 #: Share of words whose own embedding is left out while learning, so that spelling counts.
 DROPPED = 0.5
-#: Windows that are scored together.
-TOGETHER = 4096
+#: Windows that are scored together, bytes of text whose windows are cut at once (one text at least).
+TOGETHER, PIECE = 4096, 2 << 20
 TOXIC_FROM = 0.3
 
 
@@ -198,9 +198,11 @@ def toxicity(
     the structure ``row``, so that rows can be filtered without joining them.
     """
     ship(docs.sparkSession)
+    # A text that comes in the structure is not sent a second time beside it.
+    inside = docs.columns.index(text_column) if carry and text_column in docs.columns else None
     rows = docs.select(
         F.col(id_column).alias("_id"),
-        F.col(text_column).alias("_text"),
+        (F.col(text_column) if inside is None else F.lit(None).cast("string")).alias("_text"),
         held_out(F.col(id_column)),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
     )
@@ -209,7 +211,11 @@ def toxicity(
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a size bounded by VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in (p for b in batches for p in pieces(b)):
+        keep_only("powers")
+        if inside is not None:
+            batches = (b.set_column(1, "_text", b.column(3).field(inside)) for b in batches)
+        for piece in (p for b in batches for p in pieces(b, limit=PIECE)):
+            release()
             words = words_of(*text_bytes(piece.column(1)))
             text, start, score = score_windows(sent.value, words)
             best, place = np.zeros(piece.num_rows), np.zeros(piece.num_rows, np.int64)

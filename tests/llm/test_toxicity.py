@@ -110,3 +110,27 @@ def test_every_passage_of_sixteen_words_lies_whole_in_a_window():
         _, starts = tox.windows_of(np.array([words]))
         for at in range(words - 15):
             assert any(s <= at and at + 16 <= s + tox.WINDOW for s in starts)
+
+
+def test_texts_that_are_carried_are_sent_once(spark):
+    docs = spark.createDataFrame([(1, "a b", 5), (2, None, 6), (3, "", 7), (4, "grob " * 99, 8)], "doc_id bigint, text string, n int")
+    model = tox.Model(gru.new_params(0, 3), np.zeros(0, np.uint64))
+    plain = sorted(tox.toxicity(docs, model).collect())
+    carried = tox.toxicity(docs, model, carry=True)
+    assert sorted(r[:4] for r in carried.collect()) == [tuple(r) for r in plain]
+    assert sorted(r["row"] for r in carried.collect()) == sorted(docs.collect())
+    plan = carried._jdf.queryExecution().optimizedPlan().toString()
+    assert "null AS _text" in plan
+
+
+def test_workers_forget_what_other_operators_left():
+    from coursemill.llm import common, piece_models
+    from coursemill.llm.queries import piece_model
+
+    codec = piece_models.model(piece_model())
+    assert piece_models.model(piece_model()) is codec
+    common.keep_only("pieces")
+    assert piece_models.model(piece_model()) is codec
+    common.powers(10)
+    common.keep_only("powers")
+    assert piece_models.model(piece_model()) is not codec and common.remembered("powers")
