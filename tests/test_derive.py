@@ -42,3 +42,24 @@ def test_requests_keep_the_meaning_of_not_in(spark, students):
 def test_derived_tables_are_written_compressed(spark):
     files = derive.derived(spark, SMALL, "lms_order_items").inputFiles()
     assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_a_table_in_small_files_is_not_broadcast_whole(spark, store):
+    """A million rows of 70 bytes in a file under the threshold, whose size Spark would take for the rows'."""
+    before = spark.conf.get("spark.sql.sources.fileCompressionFactor")
+    large = spark.range(1_000_000).selectExpr("id", "'a title that is the same in every row of the table, or nearly' as title")
+    path = store.fresh_path("titles")
+    large.coalesce(1).write.option("compression", "zstd").parquet(path)
+
+    def plan():
+        titles = spark.read.parquet(path)
+        joined = spark.range(100_000_000).join(titles, "id")
+        return joined._jdf.queryExecution().executedPlan().toString()
+
+    try:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", "1")
+        assert "BroadcastHashJoin" in plan()
+        derive.shop_from(spark, SMALL)
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", before)
