@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import coupon_discount, coupon_usable, strip
-from ..operators.lookup import only_existing, only_missing, rename
+from ..operators.lookup import growing, only_existing, only_missing, rename
 from ..operators.merging import absent, with_new_ids
 from ..operators.numbering import number_rows, one_per_key
 from ..operators.unions import union_all
@@ -53,7 +53,7 @@ def price_checkout(shop: Shop, requests: DataFrame) -> DataFrame:
 
     A coupon that is unknown, not usable or gives nothing refuses the whole purchase.
     """
-    prices = rename(shop["courses"], course_id="id", price="price")
+    prices = growing(rename(shop["courses"], course_id="id", price="price"))
     # nullif leaves requests without a code with a null key: they match no coupon.
     asked = requests.withColumn("_code", F.nullif(F.lower(strip(F.col("coupon_code"))), F.lit("")))
     known = F.col("_coupon").isNotNull()
@@ -98,7 +98,7 @@ def price_checkout(shop: Shop, requests: DataFrame) -> DataFrame:
 
 def eligible(shop: Shop, requests: DataFrame) -> DataFrame:
     """Requests of users with a profile for courses they do not have yet."""
-    known = only_existing(requests, shop["profiles"], {"user_id": "user_id"})
+    known = only_existing(requests, growing(shop["profiles"]), {"user_id": "user_id"})
     return only_missing(known, shop["enrollments"], {"user_id": "student_id", "course_id": "course_id"})
 
 
@@ -277,7 +277,7 @@ class Purchases:
         )
 
     def notifications(self) -> DataFrame:
-        titles = rename(self.shop["courses"], course_id="id", title="title")
+        titles = growing(rename(self.shop["courses"], course_id="id", title="title"))
         # The wording of the purchase notice.
         content = F.concat(
             F.lit("你已成功購買「"), F.col("title"), F.lit("」，實付金額 NT$ "), F.col("final").cast("string"), F.lit("。")
@@ -314,7 +314,7 @@ def planned_purchases(shop: Shop, plan: DataFrame, store: Store) -> Purchases:
     Coupons are applied without asking whether they are usable. A pair that already has an order gets no
     other order, item, payment or usage, but is enrolled if it is not yet: the order may have been cancelled.
     """
-    prices = rename(shop["courses"], course_id="id", price="price")
+    prices = growing(rename(shop["courses"], course_id="id", price="price"))
     coupons = rename(
         shop["coupons"],
         coupon_id="id",

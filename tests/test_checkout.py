@@ -196,3 +196,15 @@ def test_a_chain_of_displaced_buyers_leaves_the_iteration_step_by_step(spark, st
     got = [(r.id, r.user_id, r.course_id, r.coupon_id, r.price, r.discount, r.final) for r in done.numbered.orderBy("number").collect()]
     assert got == serve_in_order(data) and len(got) == n
     assert len(sizes) >= 5 and sizes[0] >= sizes[1] and all(a > b for a, b in zip(sizes[1:], sizes[2:]))
+
+
+def test_tables_that_grow_are_not_broadcast(spark, store):
+    """Courses and profiles, though far below the threshold here: Spark's guess of their size may be ten times too low."""
+    data = make_worlds(3)
+    shop, requests = shop_of(spark, data), requests_of(spark, data)
+    done = checkout.checkout(shop, requests, store)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    priced = plan(checkout.price_checkout(shop, checkout.eligible(shop, requests)))
+    assert priced.count("rightHint=(strategy=merge)") == 2
+    done._next_id = lambda name: F.col("number")  # these shops have no notifications
+    assert plan(done.notifications()).count("rightHint=(strategy=merge)") == 1

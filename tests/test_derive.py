@@ -63,3 +63,9 @@ def test_a_table_in_small_files_is_not_broadcast_whole(spark, store):
         assert "BroadcastHashJoin" not in plan()
     finally:
         spark.conf.set("spark.sql.sources.fileCompressionFactor", before)
+
+
+@pytest.mark.parametrize("name", ["lms_order_items", "lms_notifications"])
+def test_courses_are_joined_without_a_broadcast(spark, name):
+    plan = derive._planned(spark, SMALL, name)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
