@@ -34,6 +34,8 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 3)
 SMALL_BUCKET = 8
 #: Parts of a larger bucket that each have a leader of their own, besides the bucket's.
 PARTS = 16
+#: Leaders of either kind that a text of large buckets is compared with.
+LEADERS = 2
 
 _DART = np.uint64(0xD1B54A32D192ED03)
 _COPY = np.uint64(0xA0761D6478BD642F)
@@ -168,8 +170,8 @@ def near_duplicates(
     A class is a connected component of links; a link is a pair of texts of at least ``threshold``, verified
     on the texts. Texts with the same weighted set are one node, so copies never make pairs. In a bucket of
     up to ``SMALL_BUCKET`` nodes all pairs are verified. A larger bucket, which a third of all documents may
-    share, is never paired in full: its nodes are compared with the bucket's leader and the leader of one of
-    ``PARTS`` parts. That joins most of what belongs together; links between the components that are
+    share, is never paired in full: its nodes are compared with leaders of their buckets and leaders of one of
+    ``PARTS`` parts of each, ``LEADERS`` of either kind, whatever the size of the group. That joins most of what belongs together; links between the components that are
     left in a large bucket are all found by the units of weight that their texts share (``_remainder``).
 
     Null and empty texts, and others without a word, are alone: their class is their own id, their size 1.
@@ -221,13 +223,22 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     many = members.filter(F.col("_n") > SMALL_BUCKET)
     many = many.withColumn("_part", F.pmod(F.xxhash64("_bucket", "_node"), F.lit(PARTS)))
     heads = many.groupBy("_bucket", "_part").agg(F.min("_node").alias("_head"))
-    stars = many.select(F.col("_node").alias("_one"), F.col("_leader").alias("_other")).distinct()
-    stars = stars.unionAll(
-        many.join(heads, ["_bucket", "_part"]).select(F.col("_node").alias("_one"), F.col("_head").alias("_other")).distinct()
-    )
+    stars = _most_shared(many, "_leader").unionAll(_most_shared(many.join(heads, ["_bucket", "_part"]), "_head"))
     return few.unionAll(stars).filter("_one <> _other").select(*_pair("_one", "_other")).distinct()
 
 
+def _most_shared(many: DataFrame, leader: str) -> DataFrame:
+    """Each node with the ``LEADERS`` leaders that it shares most buckets with: these are likeliest to be near it.
+
+    A node has a leader for each of ``BANDS`` buckets at most. What no leader joins is left to ``_remainder``.
+    """
+    shared = many.groupBy("_node", leader).agg(F.count(F.lit(1)).alias("_shared"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("_shared")).alias("rank"), F.col(leader).alias("leader"))))
+    best = shared.filter(F.col("_node") != F.col(leader)).groupBy("_node").agg(F.slice(ranked, 1, LEADERS).alias("_best"))
+    best = best.select(F.col("_node").alias("_one"), F.explode("_best").alias("_best"))
+    return best.select("_one", F.col("_best.leader").alias("_other"))
+
+
 def _placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     placed = nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
     return placed.withColumn("_root", F.coalesce("root", "_node")).drop("root")

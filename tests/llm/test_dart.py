@@ -145,3 +145,30 @@ def test_components_of_chains_and_stars(spark, store):
     got = {r["node"]: r["root"] for r in components(frame, store).collect()}
     expected = {k: 0 for k in range(21)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
     assert got == expected
+
+
+def test_near_copies_of_one_text_meet_few_leaders(spark, store):
+    """However many bands of theirs are in large buckets."""
+    choose = random.Random(13)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(300):
+        text = list(base)
+        for _ in range(3):
+            text[choose.randrange(len(text))] = f"x{choose.randrange(1 << 40)}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    pairs, first = [], dart._first_pairs
+
+    def watched(members):
+        pairs.append(members.filter(f"_n > {dart.SMALL_BUCKET}"))
+        return first(members)
+
+    dart._first_pairs = watched
+    try:
+        assert found(dart.near_duplicates(docs, store)) == brute(rows)
+    finally:
+        dart._first_pairs = first
+    large = pairs[0]
+    assert large.count() > 1000
+    assert first(large).count() <= 2 * dart.LEADERS * len(rows)
