@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from .common import keep_only, pieces, release, ship, text_bytes
 from .piece_models import model
 
+#: Bytes of text that are encoded at once: tables of units and ids take many times as much.
+PIECE = 1 << 20
+
 
 def encode(
     docs: DataFrame, serialized: bytes, id_column: str = "doc_id", text_column: str = "text"
@@ -32,7 +35,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("pieces")
         codec = model(serialized)
-        for piece in (p for b in batches for p in pieces(b)):
+        for piece in (p for b in batches for p in pieces(b, limit=PIECE)):
             codec.trim()
             release()
             ids, places = codec.encode_all(piece.column(1))

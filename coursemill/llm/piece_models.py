@@ -31,8 +31,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
 
-#: Units a worker remembers, in each of two generations; longer units are not remembered.
-REMEMBERED, LONGEST = 600_000, 64
+#: Units a worker remembers, in each of two generations; longer units are not remembered. Both together are some 80 MB, and
+#: an executor has several workers.
+REMEMBERED, LONGEST = 150_000, 64
 
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 

@@ -107,3 +107,15 @@ def test_documents_are_counted_as_by_the_library(spark, bpe):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     counted = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, bpe).collect()}
     assert counted == {r["doc_id"]: len(library.encode(r["text"])) for r in docs.collect()}
+
+
+def test_units_remembered_by_a_worker_are_bounded():
+    """Two generations of them, far below what an executor's workers can hold together."""
+    from coursemill.llm.piece_models import Remembered
+
+    units = Remembered(lambda unit: b"ids")
+    for k in range(1_000_000):
+        units[f"unit{k}"]
+        if k % 10_000 == 0:
+            units.trim()
+    assert len(units) + len(units.old) < 400_000
