@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -198,3 +199,59 @@ def test_empty_table_and_nothing_to_learn_from(spark, store):
     (row,) = lm.lm_scores(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string"), SERIALIZED, store).collect()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
     assert row["held_out"] and row["score"] < 0
+
+
+@pytest.mark.parametrize("shared", [1, 1000])
+def test_gradients_by_id_are_those_target_by_target(monkeypatch, shared):
+    model, random = some_model(), np.random.default_rng(8)
+    inputs, targets = random.integers(0, 40, (2, 20, BLOCK))
+    first, scored = random.random(20) < 0.5, random.random((20, BLOCK)) < 0.8
+    first[0] = True
+
+    def found():
+        loss, by_name = gradients(model, inputs, first, targets, scored)
+        nodes = np.zeros_like(model.params["node"])
+        np.add.at(nodes, by_name[("node",)][0], by_name[("node",)][1])
+        return loss, nodes, by_name[("query", "key", "value", "last")][1]
+
+    wanted = found()
+    monkeypatch.setattr(attention, "SHARED", shared)
+    for one, other in zip(found(), wanted):
+        assert one == pytest.approx(other, abs=1e-6)
+
+
+def nodes_to(paths, rows, keep):
+    """Nodes on the paths to the ids of these texts and their ends."""
+    library = sentencepiece.SentencePieceProcessor(model_proto=SERIALIZED)
+    ids = {2, *(x for i, text in rows if keep(i) for w in words(text) for x in library.encode(w))}
+    return {n for x in ids for n in paths.nodes[paths.starts[x] : paths.starts[x + 1]].tolist()}
+
+
+@pytest.mark.parametrize("learner", [8 << 20, 1000])
+def test_the_network_learns_every_id_of_every_text(spark, store, monkeypatch, learner):
+    """One learner with several passes, and several learners in rounds."""
+    random = np.random.default_rng(9)
+
+    def text(n):
+        return " ".join("".join(random.choice([*"abcdefghijklmnop"], 6)) for _ in range(n))
+
+    long = next(i for i in range(1000, 2000) if learned(i))
+    rows = [(i, text(40)) for i in range(60)] + [(long, text(4000)), (2001, None), (2002, "")]
+    kept, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: kept.append(fit(*a)) or kept[0])
+    monkeypatch.setattr(lm, "STEPS", 20 if learner > 1000 else 1)
+    monkeypatch.setattr(lm, "LEARNER", learner, raising=False)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert lm.lm_scores(table, SERIALIZED, store).count() == len(rows)
+    (model,) = kept
+    changed = set(np.flatnonzero(model.params["node"].any(axis=1)).tolist())
+    assert changed == nodes_to(model.paths, rows, learned) and nodes_to(model.paths, rows, lambda i: True) > changed
+
+
+def test_changes_are_averaged_over_the_learners_that_made_them():
+    one, other = np.full((2, 2 * DIM), 1, np.float32), np.full((2, 2 * DIM), -3.5, np.float32)
+    packed = [lm._pack_changes(np.array([4, 9]), one), lm._pack_changes(np.array([9, 12]), other)]
+    key = (pa.scalar(0, pa.int32()),)
+    (found,) = lm._average(key, pa.table({"part": [0, 0], "packed": packed})).column("packed").to_pylist()
+    rows, changes = lm._unpack_changes(found)
+    assert rows.tolist() == [4, 9, 12] and np.array_equal(changes[:, 0], np.array([1, -1.25, -3.5], np.float32))
