@@ -255,3 +255,24 @@ def test_changes_are_averaged_over_the_learners_that_made_them():
     (found,) = lm._average(key, pa.table({"part": [0, 0], "packed": packed})).column("packed").to_pylist()
     rows, changes = lm._unpack_changes(found)
     assert rows.tolist() == [4, 9, 12] and np.array_equal(changes[:, 0], np.array([1, -1.25, -3.5], np.float32))
+
+
+@pytest.mark.parametrize("step", [1, 16, 48, 1000])
+def test_steps_meet_every_target_once_after_the_text_before_it(monkeypatch, step):
+    model, random = some_model(), np.random.default_rng(10)
+    lengths = np.array([1, 15, 16, 17, 100, 2, 64, 33, 400])
+    ids, ends = random.integers(0, 40, (lengths + 1).sum()), np.cumsum(lengths + 1)
+    last = np.isin(np.arange(len(ids)), ends - 1)
+    lost, met = [], []
+    plain = attention.gradients
+
+    def spied(*given):
+        loss, found = plain(*given)
+        lost.append(loss * given[-1].sum())
+        return loss, found
+
+    monkeypatch.setattr(attention, "gradients", spied)
+    optimizer = attention.Adagrad(model.params, {k: np.full_like(v, 1e-8) for k, v in model.params.items()})
+    attention.steps_over(model, optimizer, attention.blocks(ids, lengths), step, random, lambda n: met.append(n) or 0.0)
+    assert sum(met) == lengths.sum()
+    assert -sum(lost) == pytest.approx(score(model, ids[~last], ids[np.flatnonzero(~last) + 1], lengths).sum(), rel=1e-4)
